@@ -1,0 +1,69 @@
+"""Where intermediate tables go: the shared folder that the session names in spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import atexit
+import io
+import shutil
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; only where none is set (tests on one machine) a temporary one is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        own = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared folder: later stages survive lost executors.
+
+    The files are dropped with the last reference to the result where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder for an operator's own files."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, also of those that join later."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    path = f"{new_dir(spark, 'code')}/{top.name}.zip"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path)
