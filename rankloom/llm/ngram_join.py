@@ -44,8 +44,24 @@ def _signature(g: np.ndarray) -> int:
     return int(mix(np.array([mix(g ^ np.uint64(0xA24BAED4963EE407)).sum() + np.uint64(len(g))], np.uint64))[0].view(np.int64))
 
 
+def _parity(g: np.ndarray) -> bytes:
+    """A bit for each slot of a power of two >= n: whether an odd number of the set's hashes fall there."""
+    size = 1 << max(6, (len(g) - 1).bit_length())
+    return np.packbits((np.bincount((g & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of tokens that only one of two sets has: the slots whose parities differ."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def _sets(docs: DataFrame, k: int, table: np.ndarray, tokens: bool) -> DataFrame:
-    """(doc_id, sig, n[, toks]): the signature and size of each document's set, and the set."""
+    """(doc_id, sig, n, and the parities or the set): each document's set, its signature and its size."""
 
     def run(batches):
         for b in batches:
@@ -54,9 +70,11 @@ def _sets(docs: DataFrame, k: int, table: np.ndarray, tokens: bool) -> DataFrame
             if tokens:
                 ends = np.cumsum([0, *map(len, sets)])
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "toks"][: len(cols)])
+            else:
+                cols.append(pa.array([_parity(g) for g in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "toks" if tokens else "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, n long" + ", toks array<long>" * tokens)
+    return docs.mapInArrow(run, "doc_id long, sig long, n long, " + ("toks array<long>" if tokens else "bits binary"))
 
 
 def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -190,20 +208,34 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
     return docs.select("text").mapInArrow(run, "key long, sig long, n long")
 
 
-def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
-    """(a, b): pairs of signatures (a, b) that are linked, as the smallest ids of documents with those sets."""
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    reps = cut(ids.join(nodes, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
-    wanted = reps.select("doc_id")
-    texts = docs.join(F.broadcast(wanted) if reps.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = _sets(texts.select("doc_id", "text"), k, table, True).join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, ["doc_id", "sig"])
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
+    """(a, b): of the pairs of signatures those that are linked, as the smallest ids of documents with these sets.
+
+    The parities, a sixty-fourth of the sets' size, rule out pairs that must differ in too many tokens; the sets of
+    the rest are made anew from their texts and compared in full.
+    """
+    x = reps.select(F.col("sig").alias("a"), F.col("rep_id").alias("da"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    y = reps.select(F.col("sig").alias("b"), F.col("rep_id").alias("db"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def near(batches):
+        for b in batches:
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            apart = np.array([_apart(u, v) for u, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
+            # n shared of u in all means (na + nb - 2n) apart; shared * 100 >= percent * (na + nb - shared)
+            ok = pa.array((100 + percent) * ((na + nb - apart) // 2) >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1, 6, 7)], ["a", "b", "da", "db"])
+
+    rough = pairs.join(y, "b").join(x, "a").where("da is not null and db is not null")
+    rough = cut(rough.select("a", "b", "na", "nb", "ba", "bb", "da", "db").mapInArrow(near, "a long, b long, da long, db long"))
+    wanted = cut(rough.select(F.col("da").alias("doc_id")).union(rough.select(F.col("db").alias("doc_id"))).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     kept = new_dir(docs.sparkSession, "sets")
-    sets.select("sig", "doc_id", "n", "toks").dropDuplicates(["sig"]).write.parquet(kept)
-    sets = docs.sparkSession.read.schema("sig long, doc_id long, n long, toks array<long>").parquet(kept)
-    left = sets.select(F.col("sig").alias("a"), F.col("doc_id").alias("da"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("da").alias("a"), F.col("db").alias("b"))
+    _sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), k, table, True).write.parquet(kept)
+    sets = docs.sparkSession.read.schema("doc_id long, sig long, n long, toks array<long>").parquet(kept)
+    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    both = rough.join(right, "b").join(left, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+    return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray = SPACED) -> DataFrame:
@@ -230,8 +262,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
     pairs = cut(multi.where("sig != rep").where(alike("n", "rep_n")).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct())
-    links = cut(_verified(docs, ids, pairs, k, table, percent))
-    reps = ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"))
+    reps = cut(ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    links = cut(_verified(docs, reps, pairs, k, table, percent))
     found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
     # Entries whose members the first round left in more than one component: whatever of theirs is still apart.
     left = multi.join(found, "sig")
@@ -243,7 +275,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     more = x.join(y, "key").where("cx != cy").where(alike("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.unionByName(cut(_verified(docs, ids, more, k, table, percent)))
+        links = links.unionByName(cut(_verified(docs, reps, more, k, table, percent)))
         found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
     full = ids.where("n > 0").join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     return full.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
