@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules that hold an operator with its query; each has QUERIES and may have SQL.
-MODULES = ("secrets", "licenses", "decontaminate", "sstable", "packing", "language", "ngram_join", "warc", "vector_dedup")
+MODULES = ("secrets", "licenses", "decontaminate", "sstable", "packing", "language", "ngram_join", "warc", "pii", "vector_dedup")
 
 
 def queries() -> dict:
