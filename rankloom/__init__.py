@@ -1,0 +1 @@
+"""rankloom: ranking the nodes of large weighted graphs on Spark."""

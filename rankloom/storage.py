@@ -24,15 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a narrow table for each file, where their number is known.
+ROWS_PER_FILE = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, computed once and read back from the shared folder: later stages survive lost executors.
 
-    The files are dropped with the last reference to the result where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    Where the caller knows how many rows there are at most, there are no more files than these need.  The files are
+    dropped with the last reference to the result where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)
 
 
@@ -56,7 +63,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    top = Path(__file__).resolve().parents[1]
+    top = Path(__file__).resolve().parent
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):

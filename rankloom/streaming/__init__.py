@@ -1,0 +1 @@
+"""The engine ranks graphs at rest: a load is one pass and a solve a loop, so there is nothing to stream here."""
