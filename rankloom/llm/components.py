@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import cut
+from ..storage import cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -12,10 +12,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star: each node's higher neighbours, then all its others, are hung on the smallest
     one.  Both are joins and aggregates whose partial sums absorb hubs; rounds grow with the logarithm of the longest
-    path.  Null ends, loops and repeated links are ignored; no links give an empty table.
+    path.  ``links`` should be a table or a checkpoint, for it is read twice.  Null ends, loops and repeated links are ignored; no links give an empty table.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = e.count()
+    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n)
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         star = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         e = star.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), n)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

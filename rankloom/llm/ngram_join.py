@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .store import cut, new_dir, ship
+from ..storage import cut, new_dir, ship
 from .text import SPACED, mix, shingle_sets
 
 #: A token in more documents than this is of the frequent class, if it is among the MAX_FREQUENT most frequent.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .rows import append
-from .store import cut, new_dir, ship
+from ..storage import cut, new_dir, ship
 
 #: Redrawn entities that tasks get as one table; beyond, each text's own are joined to it.
 BROADCAST_ENTITIES = 200_000

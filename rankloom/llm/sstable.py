@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .store import new_dir, ship
+from ..storage import new_dir, ship
 from .tokens import encoder
 
 MAGIC = b"RLSST001"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .components import components
 from .hnsw import Graph
 from .sstable import filesystem
-from .store import cut, new_dir, ship
+from ..storage import cut, new_dir, ship
 from .text import mix
 
 #: Shards at least, and the bytes of double-precision vectors in one at most.

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .sstable import filesystem
-from .store import new_dir, ship
+from ..storage import new_dir, ship
 
 ROLL = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
