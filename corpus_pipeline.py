@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.llm import decontaminate, language, ngram_join, packing, pii
-from rankloom.llm.store import new_dir
+from rankloom.storage import new_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
