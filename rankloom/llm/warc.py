@@ -81,16 +81,21 @@ def decode_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
         raise ValueError("a record is cut off")
 
 
-def with_originals(pages: DataFrame, least: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(page_id, url, payload, size, digest, original, original_url) of each row; the payload is UTF-8, null: empty.
+def payloads(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(page_id, url, payload, size, sha1) of each row; the payload is UTF-8, a null an empty one."""
+    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    return d.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
 
-    original: the smallest page_id among the rows with an equal payload of at least ``least`` bytes, else null.  One
-    aggregate of digests with partial sums, and a join whose heavy keys Spark may split; null ids count as largest.
+
+def revisits(d: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, sha1, original, original_url) of the payloads() whose payload a smaller page_id has too, distinct.
+
+    Only digests are moved: one aggregate with partial sums, and a join whose heavy keys Spark may split.
     """
-    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    d = d.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    first = d.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("sha1", "size").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return d.join(first.select("sha1", "size", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), ["sha1", "size"], "left")
+    narrow = d.where(F.col("size") >= least).select("page_id", "url", "size", "sha1")
+    first = narrow.where("page_id is not null").groupBy("sha1", "size").agg(F.min(F.struct("page_id", "url")).alias("first"))
+    other = narrow.join(first, ["sha1", "size"]).where("page_id is null or page_id != first.page_id")
+    return other.select("page_id", "sha1", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")).distinct()
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, roll: int = ROLL, shards: int | None = None, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -103,15 +108,18 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, roll: int = ROLL, sh
     spark = pages.sparkSession
     ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = with_originals(pages, least, id_col, payload_col, url_col)
-    revisit = F.coalesce(F.col("original") != F.coalesce("page_id", F.lit(-1)), F.lit(False))
-    d = d.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "sha1", F.when(revisit, F.col("original")).alias("refers_to"), F.when(revisit, F.col("original_url")).alias("refers_url"))
-    d = d.repartitionByRange(shards, "page_id", "sha1", F.xxhash64("url")).sortWithinPartitions("page_id", "sha1", "url")
+    d = payloads(pages, id_col, payload_col, url_col)
+    found = revisits(d, least)
+    # A row's decision travels as a row of its own just before it, so payloads are moved only once.
+    both = d.select("page_id", "sha1", F.lit(1).alias("last"), "url", "payload", "size").unionByName(
+        found.select("page_id", "sha1", F.lit(0).alias("last"), F.col("original_url").alias("url"), F.col("original").alias("size")), allowMissingColumns=True
+    )
+    d = both.repartitionByRange(shards, "page_id", "sha1").sortWithinPartitions("page_id", "sha1", "last", "url")
 
     def write(batches):
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, top = filesystem(path)
-        state = {"out": None, "n": 0}
+        state, decided = {"out": None, "n": 0}, {}
 
         def start():
             fs.create_dir(top, recursive=True)
@@ -125,12 +133,17 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, roll: int = ROLL, sh
             return pa.RecordBatch.from_pydict({"file": [f"{path}/{state['name']}"], "records": pa.array([state["records"]], pa.int64()), "bytes": pa.array([state["bytes"]], pa.int64()), "sha1": [state["sha1"].hexdigest()]})
 
         for b in batches:
-            for page_id, url, payload, size, sha1, refers_to, refers_url in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), *(c.to_pylist() for c in b.columns[3:])):
+            for page_id, sha1, last, url, payload, size in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), b.column(5).to_pylist()):
+                if not last:
+                    decided = {(page_id, sha1): (size, url)}
+                    continue
                 if state["out"] is None:
                     start()
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                refers_to, refers_url = decided.get((page_id, sha1), (None, None))
+                payload = payload.as_py() if refers_to is None else None
                 zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = zipped.compress(encode_record(page_id, url, payload.as_py(), size, digest, refers_to, refers_url)) + zipped.flush()
+                member = zipped.compress(encode_record(page_id, url, payload, size, digest, refers_to, refers_url)) + zipped.flush()
                 state["out"].write(member)
                 state["sha1"].update(member)
                 state["records"] += 1
