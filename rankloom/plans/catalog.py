@@ -332,9 +332,9 @@ def _(spark, sf):
     return ranks.select("run_id", "id", F.round(F.col("x") * g.nodes.count(), 8).alias("x"))
 
 
-@query("sweep_runs", "SELECT * FROM (VALUES ('run0', 'power', 15, 'diverged_its', false), ('run1', 'power', 0, 'failed', true), ('run2', 'power', 15, 'diverged_its', false)) t(run_id, alg, iters, reason, failed)")
+@query("sweep_runs", "SELECT * FROM (VALUES ('run0', 'power', 3, 'diverged_its', false), ('run1', 'power', 0, 'failed', true), ('run2', 'power', 3, 'diverged_its', false)) t(run_id, alg, iters, reason, failed)")
 def _(spark, sf):
-    lines = ["-maxiter 15\r", "", "-alg nosuch", "-alpha 0.5 -maxiter 15"]
+    lines = ["-maxiter 3\r", "", "-alg nosuch", "-alpha 0.5 -maxiter 3"]
     runs = sweep(graphs.trade(spark, sf), lines, PageRankConfig(**_FIXED))[0]
     return runs.select("run_id", F.lit("power").alias("alg"), F.coalesce("iters", F.lit(0)).alias("iters"), F.coalesce("reason", F.lit("failed")).alias("reason"), F.col("error").isNotNull().alias("failed"))
 
