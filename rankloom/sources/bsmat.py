@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.graph import Graph
 from ..operators.placement import degrees
 from ..storage import ship
-from .files import exists, filesystem, is_gzip, opened, size, write_bytes
+from .files import exists, filesystem, is_gzip, opened, size
 
 HEADER = struct.Struct("<iiI")
 RECORD = np.dtype([("i", "<u4"), ("j", "<u4"), ("v", "<f8")])
@@ -156,4 +156,4 @@ def write_bsmat(g: Graph, path: str) -> None:
             f.write(struct.pack("<i", r.degree))
 
 
-__all__ = ["BsmatDataSource", "read_bsmat", "read_bsmat_entries", "read_degrees", "read_header", "write_bsmat", "write_bytes"]
+__all__ = ["BsmatDataSource", "read_bsmat", "read_bsmat_entries", "read_degrees", "read_header", "write_bsmat"]

@@ -7,17 +7,11 @@ import io
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from ..storage import filesystem
 
 GZIP = b"\x1f\x8b"
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def exists(uri: str) -> bool:
     fs, path = filesystem(uri)
     return fs.get_file_info(path).type == pafs.FileType.File
@@ -69,9 +63,3 @@ def guess_filetype(data: bytes) -> str:
     if any(b <= 0x10 and b not in b"\t\r\n" for b in data) or sum(b > 127 for b in data) * 4 > len(data):
         return "binary"
     return "text"
-
-
-def write_bytes(spark: SparkSession | None, uri: str, data: bytes) -> None:
-    fs, path = filesystem(uri)
-    with fs.open_output_stream(path, compression=None) as f:
-        f.write(data)

@@ -1,60 +1,81 @@
-"""Where intermediate tables go: the shared folder that the session names in spark.checkpoint.dir."""
+"""Tables and files in the shared folder that the session names in spark.checkpoint.dir.
+
+Lineage is cut by tables that tasks write there through Arrow: a task writes one file under a hidden temporary name and
+renames it, so a repeated or late attempt leaves the same file.  Tables made inside a ``scope`` go with it.
+"""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, types as T
 
+#: Rows of a narrow table for each file, where their number is known.
+ROWS_PER_FILE = 50_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where none is set (tests on one machine) a temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="rankloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows of a batch between Spark and Python while a table is written, unless the caller knows that they are wide.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+_own: dict[str, str] = {}
+_scopes: list[list[str]] = []
+_shipped: set[str] = set()
 
-#: Rows of a narrow table for each file, where their number is known.
-ROWS_PER_FILE = 50_000
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, computed once and read back from the shared folder: later stages survive lost executors.
 
-    Where the caller knows how many rows there are at most, there are no more files than these need.  The files are
-    dropped with the last reference to the result where spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark))
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; only where none is set (tests on one machine) a temporary one is made."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            own = tempfile.mkdtemp(prefix="rankloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _own[application] = f"file://{own}"
+        found = _own[application]
+    return found.rstrip("/")
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for an operator's own files."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def new_dir(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path below the shared folder; it goes with the innermost scope, a lasting one with that around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > lasting:
+        _scopes[-1 - lasting].append(path)
+    return path
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_shipped: set[str] = set()
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside are dropped at the end, also after an error.  What is returned must not read them any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_dir(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,9 +89,67 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    path = f"{new_dir(spark, 'code')}/{top.name}.zip"
+    path = f"{shared_dir(spark)}/code-{uuid.uuid4().hex}/{top.name}.zip"
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
     out.write(packed.getvalue())
     out.close()
     context.addPyFile(path)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on, and its next task may need none of it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches between Spark and Python have so many rows at most: they are several times in memory."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def store(df: DataFrame, path: str, by: Callable | None = None, schema: str | None = None, batch: int = BATCH_ROWS) -> DataFrame:
+    """Write df as Parquet below path and read it back; at most a file for each partition, none for an empty one.
+
+    With ``by``, a function from batches to batches of ``schema``, its result is written, by the same worker.
+    """
+    spark, schema = df.sparkSession, T.StructType.fromDDL(schema) if schema else df.schema
+    ship(spark)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, writer, rows = TaskContext.get(), None, 0
+        fs, top = filesystem(path)
+        name, temporary = f"{top}/part-{task.partitionId():06d}.parquet", f"{top}/_{task.partitionId():06d}-{task.taskAttemptId()}.tmp"
+        for b in by(batches) if by else batches:
+            if b.num_rows:
+                if writer is None:
+                    fs.create_dir(top, recursive=True)
+                    writer = pq.ParquetWriter(temporary, b.schema, filesystem=fs, compression="lz4", use_dictionary=False)
+                writer.write_batch(b)
+                rows += b.num_rows
+        give_back()
+        if writer is not None:
+            writer.close()
+            fs.move(temporary, name)
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    with _batches(spark, batch):
+        written = df.mapInArrow(write, "rows long").collect()  # a row for each file
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
+
+
+def cut(df: DataFrame, rows: int | None = None, lasting: bool = False, by: Callable | None = None, schema: str | None = None, batch: int = BATCH_ROWS) -> DataFrame:
+    """df (or what ``by`` makes of it), computed once and read back from the shared folder: later stages survive lost executors.
+
+    Where the caller knows how many rows there are at most, there are no more files than these need.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+    return store(df, new_dir(df.sparkSession, "table", lasting), by, schema, batch)
