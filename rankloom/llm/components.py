@@ -12,7 +12,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star: each node's higher neighbours, then all its others, are hung on the smallest
     one.  Both are joins and aggregates whose partial sums absorb hubs; rounds grow with the logarithm of the longest
-    path.  ``links`` should be a table or a checkpoint, for it is read twice.  Null ends, loops and repeated links are ignored; no links give an empty table.
+    path.  ``links`` should be stored, for it is read twice.  Null ends, loops and repeated links are ignored; no links give an empty table.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     n = e.count()

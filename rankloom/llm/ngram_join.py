@@ -9,8 +9,8 @@ the 2-token combinations of neighbouring frequent tokens.  The class decides the
 tokens would do, and it is chosen from counts over all documents as the most frequent ones, MAX_FREQUENT at most.
 
 Candidates are verified on the whole sets.  Copies with equal sets are one node; in each index entry the members are
-first held against its smallest node; where an entry then still spans components, its members in different
-components are held against each other.
+first held against one of them, that with the fewest rare tokens; where an entry then still spans components, its
+members in different components are held against each other in blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import cut, scope, ship
 from .components import components
-from ..storage import cut, new_dir, ship
 from .text import SPACED, mix, shingle_sets
 
 #: A token in more documents than this is of the frequent class, if it is among the MAX_FREQUENT most frequent.
@@ -31,7 +31,11 @@ MAX_FREQUENT = 1 << 21
 #: Bits of the filter that spares index entries of tokens that only one document has: a fixed size, right at any load.
 FILTER_BITS = 1 << 27
 #: Tokens that a task gathers before it passes on their counts.
-GATHER = 1 << 22
+GATHER = 1 << 21
+#: Members of a home that are held against those of another at once; a quarter of a thousand shingles each on average.
+BLOCK = 512
+#: Texts that a task takes at once.
+TEXTS = 250
 #: Ids that are broadcast at most (16 bytes each); beyond, the rows are shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -61,7 +65,7 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def _sets(docs: DataFrame, k: int, table: np.ndarray, tokens: bool) -> DataFrame:
-    """(doc_id, sig, n, and the parities or the set): each document's set, its signature and its size."""
+    """(doc_id, sig, n, and the parities or the set), stored: each document's set, its signature and its size."""
 
     def run(batches):
         for b in batches:
@@ -74,7 +78,7 @@ def _sets(docs: DataFrame, k: int, table: np.ndarray, tokens: bool) -> DataFrame
                 cols.append(pa.array([_parity(g) for g in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "toks" if tokens else "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, n long, " + ("toks array<long>" if tokens else "bits binary"))
+    return cut(docs, batch=TEXTS, by=run, schema="doc_id long, sig long, n long, " + ("toks array<long>" if tokens else "bits binary"))
 
 
 def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -117,29 +121,35 @@ def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tup
         if size:
             yield flush()
 
-    def count(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        keys, n = [], []
-        for r in group.select(["keys", "at", "n"]).to_pylist():
-            keys.append(x := np.frombuffer(r["keys"], wide))
-            n.append(c := np.ones(len(x), np.int64))
-            c[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.uint32)
+    def count(batches):
+        bucket, keys, n = None, [], []
+        for b in batches:  # sorted by bucket
+            for r in range(b.num_rows):
+                if (own := b.column(0)[r].as_py()) != bucket:
+                    if keys:
+                        yield counts_of(bucket, keys, n)
+                    bucket, keys, n = own, [], []
+                keys.append(x := np.frombuffer(b.column(1)[r].as_py(), wide))
+                n.append(c := np.ones(len(x), np.uint32))
+                c[np.frombuffer(b.column(2)[r].as_py(), np.uint32)] = np.frombuffer(b.column(3)[r].as_py(), np.uint32)
+        if keys:
+            yield counts_of(bucket, keys, n)
+
+    def counts_of(bucket, keys, n):
         key = np.concatenate(keys)
         by = np.argsort(key, kind="stable")
-        key, n = key[by], np.concatenate(n)[by]
+        key, n = key[by], np.concatenate(n)[by].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         df, key = np.add.reduceat(n, first), key[first].astype(np.uint64)
         seen = np.zeros(segment, bool)
         seen[(key[df > 1] & np.uint64(segment - 1)).astype(np.int64)] = True
         often = df > RARE
         full = (np.uint64(bucket) << np.uint64(bits - bucket_bits)) | key[often]
-        rows = pa.table({"key": pa.array(full.view(np.int64)), "df": pa.array(df[often], pa.int64()), "bits": pa.nulls(int(often.sum()), pa.binary())})
-        return pa.concat_tables([rows, pa.table({"key": pa.array([bucket], pa.int64()), "df": pa.array([-1], pa.int64()), "bits": pa.array([np.packbits(seen).tobytes()], pa.binary())})])
+        packed = [None] * int(often.sum()) + [np.packbits(seen).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(np.append(full.view(np.int64), bucket)), pa.array(np.append(df[often], -1)), pa.array(packed, pa.binary())], ["key", "df", "bits"])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, keys binary, at binary, n binary").groupBy("bucket").applyInArrow(count, "key long, df long, bits binary")
-    out = new_dir(spark, "token-counts")
-    counted.write.parquet(out)
-    counted = spark.read.schema("key long, df long, bits binary").parquet(out)
+    blocks = docs.select("text").mapInArrow(run, "bucket int, keys binary, at binary, n binary")
+    counted = cut(blocks.repartition("bucket").sortWithinPartitions("bucket"), batch=TEXTS, by=count, schema="key long, df long, bits binary")
     seen = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in counted.where("df < 0").select("key", "bits").toLocalIterator():  # FILTER_BITS in all
         seen[r.key * (segment // 8) : (r.key + 1) * (segment // 8)] = np.frombuffer(r.bits, np.uint8)
@@ -154,7 +164,7 @@ def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tup
 
 
 def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int) -> DataFrame:
-    """(key, sig, n): the index entries of each document."""
+    """(key, sig, n, own), stored: the index entries of each document; own: how many of its tokens are rare."""
     spark = docs.sparkSession
     often, seen, bits = _token_counts(docs, k, table, total)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,7 +193,7 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
             return g[(seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
 
         for b in batches:
-            keys, sigs, ns = [], [], []
+            keys, sigs, ns, own = [], [], [], []
             for g in shingle_sets(b.column(0), table, k):
                 n = len(g)
                 if not n:
@@ -202,14 +212,117 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
                     keys.append(e)
                     sigs.append(np.full(len(e), _signature(g), np.int64))
                     ns.append(np.full(len(e), n, np.int64))
+                    own.append(np.full(len(e), len(rare), np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ns))], ["key", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(own))], ["key", "sig", "n", "own"])
 
-    return docs.select("text").mapInArrow(run, "key long, sig long, n long")
+    return cut(docs.select("text"), batch=TEXTS, by=run, schema="key long, sig long, n long, own long")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
-    """(a, b): of the pairs of signatures those that are linked, as the smallest ids of documents with these sets.
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, table: np.ndarray) -> DataFrame:
+    """(doc_id, sig, n, toks) of the documents with these ids (a stored table), from their texts."""
+    wanted = F.broadcast(wanted.distinct()) if wanted.count() <= BROADCAST_IDS else wanted.distinct()
+    return _sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), k, table, True)
+
+
+def _resolved(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
+    """(a, b), stored: links that join whatever components have linked members in a common entry of ``left`` (key, size, sig, n, c).
+
+    A pair may share many entries, so each node has one home, its largest entry; homes that meet in an entry are held
+    against each other once, in blocks of BLOCK members.  Parities leave few pairs of a block; for these the sets are
+    fetched and compared, but for pairs that earlier links of the block have joined.
+    """
+    home = left.groupBy("sig").agg(F.max(F.struct("size", "key")).key.alias("home"), F.first("n").alias("n"), F.first("c").alias("c"))
+    n = left.count()
+    home = cut(home.join(reps.select("sig", "rep_id", "bits"), "sig"), n)
+    meet = left.join(home.select("sig", "home"), "sig").select("key", "home").distinct()
+    meet = meet.select("key", F.col("home").alias("x")).join(meet.select("key", F.col("home").alias("y")), "key").where("x <= y").select("x", "y").distinct()
+    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 256))).alias("parts"))
+    lists = home.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    lists = cut(lists.repartition("home", "part").groupBy("home", "part").agg(F.collect_list(F.struct("sig", "n", "c", "rep_id", "bits")).alias("items")), n, batch=16)
+    x = lists.select(F.col("home").alias("x"), F.col("part").alias("px"), F.col("items").alias("ix"))
+    y = lists.select(F.col("home").alias("y"), F.col("part").alias("py"), F.col("items").alias("iy"))
+    blocks = meet.join(y, "y").join(x, "x").where("x < y or px <= py").select((F.col("x") == F.col("y")).alias("same"), (F.col("px") == F.col("py")).alias("one"), "ix", "iy", F.xxhash64("x", "px", "y", "py").alias("block"))
+
+    def columns(items: pa.StructArray):
+        number = [items.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        by_size: dict[int, list] = {}
+        for i, bits in enumerate(items.field(4).to_pylist()):
+            by_size.setdefault(len(bits), []).append((i, bits))
+        return number, {s: (np.array([i for i, _ in v]), np.frombuffer(b"".join(b for _, b in v), np.uint64).reshape(len(v), -1)) for s, v in by_size.items()}
+
+    def near(batches):
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                (sx, nx, cx, dx), bx = columns(b.column(2)[r].values)
+                (sy, ny, cy, dy), by = columns(b.column(3)[r].values)
+                once = b.column(0)[r].as_py() and b.column(1)[r].as_py()
+                found = []
+                for u, (iu, pu) in bx.items():
+                    for v, (iv, pv) in by.items():
+                        if max(u, v) > 2 * min(u, v):
+                            continue  # sizes too far apart for any similarity from 50 %
+                        fu, fv = pu, pv
+                        while fu.shape[1] > fv.shape[1]:
+                            fu = fu[:, : fu.shape[1] // 2] ^ fu[:, fu.shape[1] // 2 :]
+                        while fv.shape[1] > fu.shape[1]:
+                            fv = fv[:, : fv.shape[1] // 2] ^ fv[:, fv.shape[1] // 2 :]
+                        for a in range(0, len(iu), 64):
+                            i = iu[a : a + 64]
+                            ok = cx[i][:, None] != cy[iv][None, :]
+                            total = nx[i][:, None] + ny[iv][None, :]
+                            ok &= (100 + percent) * np.minimum(nx[i][:, None], ny[iv][None, :]) >= percent * total
+                            if once:
+                                ok &= sx[i][:, None] < sy[iv][None, :]
+                            p, q = np.nonzero(ok)
+                            for w in range(0, len(p), 1 << 14):
+                                pw, qw = p[w : w + (1 << 14)], q[w : w + (1 << 14)]
+                                far = np.bitwise_count(fu[a + pw] ^ fv[qw]).sum(1, dtype=np.int64)
+                                good = (100 + percent) * ((total[pw, qw] - far) // 2) >= percent * total[pw, qw]
+                                found.append(np.stack([far[good], i[pw[good]], iv[qw[good]]]))
+                f = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+                if f.shape[1]:
+                    _, i, j = f[:, np.argsort(f[0], kind="stable")]
+                    out.append((b.column(4)[r].as_py(), sx[i], sy[j], cx[i], cy[j], np.unique(np.concatenate([sx[i], sy[j]])), np.unique(np.concatenate([dx[i], dy[j]]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in range(1, 7)]], ["block", "a", "b", "ca", "cb", "sigs", "docs"])
+
+    rough = cut(blocks.select("same", "one", "ix", "iy", "block"), n, batch=16, by=near, schema="block long, a array<long>, b array<long>, ca array<long>, cb array<long>, sigs array<long>, docs array<long>")
+    sets = _sets_of(docs, rough.select(F.explode("docs").alias("doc_id")), k, table)
+    nodes = rough.select("block", F.explode("sigs").alias("sig")).join(sets.select("sig", "toks"), "sig")
+    nodes = nodes.groupBy("block").agg(F.collect_list(F.struct("sig", "toks")).alias("sets"))
+
+    def check(batches):
+        for b in batches:
+            links = []
+            for r in range(b.num_rows):
+                items = b.column(4)[r].values
+                toks = items.field(1)
+                have = {s: toks[i].values.to_numpy().view(np.uint64) for i, s in enumerate(items.field(0).to_pylist())}
+                parent: dict[int, int] = {}
+
+                def root(x, parent=parent):
+                    while (p := parent.setdefault(x, x)) != x:
+                        parent[x] = x = parent[p]
+                    return x
+
+                for u, v, cu, cv in zip(*(b.column(i)[r].as_py() for i in range(4))):
+                    cu, cv = root(cu), root(cv)
+                    if cu != cv:
+                        both = len(have[u]) + len(have[v])
+                        shared = both - len(np.union1d(have[u], have[v]))
+                        if 100 * shared >= percent * (both - shared):
+                            parent[max(cu, cv)] = min(cu, cv)
+                            links.append((cu, cv))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return cut(rough.join(nodes, "block").select("a", "b", "ca", "cb", "sets"), n, batch=4, by=check, schema="a long, b long")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int, k: int, table: np.ndarray, percent: int) -> DataFrame:
+    """(a, b), stored: of the pairs of signatures (``most`` or fewer) those that are linked, as the smallest ids of documents with these sets.
 
     The parities, a sixty-fourth of the sets' size, rule out pairs that must differ in too many tokens; the sets of
     the rest are made anew from their texts and compared in full.
@@ -226,16 +339,13 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, table:
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1, 6, 7)], ["a", "b", "da", "db"])
 
     rough = pairs.join(y, "b").join(x, "a").where("da is not null and db is not null")
-    rough = cut(rough.select("a", "b", "na", "nb", "ba", "bb", "da", "db").mapInArrow(near, "a long, b long, da long, db long"))
-    wanted = cut(rough.select(F.col("da").alias("doc_id")).union(rough.select(F.col("db").alias("doc_id"))).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    kept = new_dir(docs.sparkSession, "sets")
-    _sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), k, table, True).write.parquet(kept)
-    sets = docs.sparkSession.read.schema("doc_id long, sig long, n long, toks array<long>").parquet(kept)
+    rough = cut(rough.select("a", "b", "na", "nb", "ba", "bb", "da", "db"), most, by=near, schema="a long, b long, da long, db long")
+    sets = _sets_of(docs, rough.select(F.col("da").alias("doc_id")).union(rough.select(F.col("db").alias("doc_id"))), k, table)
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     both = rough.join(right, "b").join(left, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
+    both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("da").alias("a"), F.col("db").alias("b"))
+    return cut(both, 4 * rough.count())  # sets are long: fewer rows a file
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray = SPACED) -> DataFrame:
@@ -250,32 +360,32 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         raise ValueError("percent must be from 50 to 100")
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = cut(_sets(docs, k, table, False))
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    kept = new_dir(docs.sparkSession, "index")
-    _index(docs, k, table, percent, total).write.parquet(kept)
-    entries = docs.sparkSession.read.schema("key long, sig long, n long").parquet(kept)
-    keys = entries.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("low"), F.max("sig").alias("high")).where("low.sig != high")
-    multi = cut(entries.join(keys.select("key", F.col("low.sig").alias("rep"), F.col("low.n").alias("rep_n")), "key").distinct())
+    with scope(docs.sparkSession):
+        return cut(_joined(docs, k, table, percent), lasting=True)
+
+
+def _joined(docs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
+    """The result of the join from (doc_id, text); it reads tables that go with the caller's scope."""
+    ids = _sets(docs, k, table, False)
+    size = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
+    entries = _index(docs, k, table, percent, size.tokens)
+    keys = entries.groupBy("key").agg(F.min(F.struct("own", "sig", "n")).alias("low"), F.min("sig").alias("least"), F.max("sig").alias("most")).where("least != most")
+    multi = cut(entries.join(keys.select("key", F.col("low.sig").alias("rep"), F.col("low.n").alias("rep_n")), "key").distinct(), entries.count())
+    n_multi = multi.count()
 
     def alike(a, b):
         return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
-    pairs = cut(multi.where("sig != rep").where(alike("n", "rep_n")).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct())
-    reps = cut(ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    links = cut(_verified(docs, reps, pairs, k, table, percent))
+    pairs = multi.where("sig != rep").where(alike("n", "rep_n")).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct()
+    reps = cut(ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), size.rows)
+    links = _verified(docs, reps, pairs, n_multi, k, table, percent)
     found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
     # Entries whose members the first round left in more than one component: whatever of theirs is still apart.
     left = multi.join(found, "sig")
-    apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    left = cut(left.join(apart, "key").select("key", "sig", "n", "rep", "c"))
-    first = left.where("sig = rep").select("key", F.col("c").alias("rep_c")).distinct()
-    x = left.join(first, "key").where("c != rep_c").select("key", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = left.select("key", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    more = x.join(y, "key").where("cx != cy").where(alike("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(cut(_verified(docs, reps, more, k, table, percent)))
+    apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+    left = cut(left.join(apart, "key").select("key", "size", "sig", "n", "c"), n_multi)
+    if not left.isEmpty():
+        links = links.unionByName(_resolved(docs, reps, left, k, table, percent))
         found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
     full = ids.where("n > 0").join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     return full.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

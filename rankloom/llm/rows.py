@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ..storage import ship
+from ..storage import give_back, ship
 
 
 def append(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list], setup: Callable[[], object] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -29,6 +29,7 @@ def append(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list], s
         for b in batches:
             made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(make(b, *extra), kinds)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in at] + made, out.names)
+        give_back()
 
     return df.mapInArrow(run, out)
 
