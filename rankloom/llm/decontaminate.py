@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import cut
 from .rows import append
-from ..storage import new_dir
 from .text import ALNUM, rolling, words
 
 MIN_MATCH = 5
@@ -173,8 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = COVERED,
 
         out = append(out, "coverage double, n_items long, items array<long>", scan, lambda s=shared: s.value)
         if n + 1 < blocks:
-            out.write.parquet(path := new_dir(docs.sparkSession, "decontaminate"))
-            out = docs.sparkSession.read.schema(out.schema).parquet(path)
+            out = cut(out)
     return out
 
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .rows import append
 from ..storage import cut
+from .rows import append
 from .tokens import encoder
 
 BUCKETS = 16
@@ -97,7 +97,7 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, step:
                 seen[x] = seen.get(x, 0) + len(own)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], [*b.schema.names, "part", "rank"])
 
-    d = cut(d.mapInArrow(number, "doc_id long, n_tokens long, bucket int, boundary long, part int, rank long"))
+    d = cut(d, by=number, schema="doc_id long, n_tokens long, bucket int, boundary long, part int, rank long")
     sizes = d.groupBy("bucket", "part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.join(sizes.select("bucket", "part", before.alias("before")), ["bucket", "part"])

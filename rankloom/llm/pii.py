@@ -15,8 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import cut, scope, ship
 from .rows import append
-from ..storage import cut, new_dir, ship
 
 #: Redrawn entities that tasks get as one table; beyond, each text's own are joined to it.
 BROADCAST_ENTITIES = 200_000
@@ -159,7 +159,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def _entities(docs: DataFrame) -> DataFrame:
-    """(h, kind, canon): each text's distinct entities; h tells texts apart."""
+    """(h, kind, canon), stored to outlast the scope: each text's distinct entities; h tells texts apart."""
 
     def run(batches):
         for b in batches:
@@ -167,7 +167,7 @@ def _entities(docs: DataFrame) -> DataFrame:
             rows = sorted(set(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canon"])
 
-    return docs.mapInArrow(run, "h long, kind string, canon string")
+    return cut(docs, lasting=True, batch=250, by=run, schema="h long, kind string, canon string")
 
 
 def _drawn(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
@@ -209,10 +209,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     ship(spark)
     whole = F.xxhash64(F.col(text_col))
     texts = docs.where(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike("|".join(_TITLE_GENDER)))
-    out = new_dir(spark, "entities")
-    _entities(texts.select(whole.alias("h"), F.col(text_col).alias("t"))).write.parquet(out)
-    found = spark.read.schema("h long, kind string, canon string").parquet(out)
-    redrawn = cut(assign(found, key).where("attempt > 0"))
+    with scope(spark):
+        found = _entities(texts.select(whole.alias("h"), F.col(text_col).alias("t")))
+        redrawn = cut(assign(found, key).where("attempt > 0"), lasting=True)
     at = docs.columns.index(text_col)
     n = redrawn.count()
     if n <= BROADCAST_ENTITIES:

@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import new_dir, ship
+from ..storage import filesystem, new_dir, ship, store
 from .tokens import encoder
 
 MAGIC = b"RLSST001"
@@ -33,12 +32,6 @@ BLOCK = 1 << 17
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def key_of(doc_id: int | None) -> bytes:
     return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
@@ -215,10 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{path}/shard-{shard:06d}.sst"], "entries": pa.array([entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64()), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary())})
 
-    manifest = f"{path}/manifest"
-    schema = "shard int, path string, entries long, ids long, first binary, last binary"
-    rows.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
-    return spark.read.schema(schema).parquet(manifest)
+    return store(rows, f"{path}/manifest", write, "shard int, path string, entries long, ids long, first binary, last binary", batch=250)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import cut, filesystem, new_dir, scope, ship
 from .components import components
 from .hnsw import Graph
-from .sstable import filesystem
-from ..storage import cut, new_dir, ship
 from .text import mix
 
 #: Shards at least, and the bytes of double-precision vectors in one at most.
@@ -112,10 +111,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     """
     spark = vectors.sparkSession
     ship(spark)
-    vectors = vectors.where(F.col(id_col).isNotNull())
-    nodes = new_dir(spark, "vectors")
-    classes(vectors, id_col, vector_col).write.parquet(nodes)
-    nodes = spark.read.schema("v array<double>, id long, c long").parquet(nodes)
+    with scope(spark):
+        return cut(_linked(spark, vectors.where(F.col(id_col).isNotNull()), least, id_col, vector_col, shards), lasting=True)
+
+
+def _linked(spark: SparkSession, vectors: DataFrame, least: float, id_col: str, vector_col: str, shards: int | None) -> DataFrame:
+    """The result, from tables and files that go with the caller's scope."""
+    nodes = cut(classes(vectors, id_col, vector_col), batch=250)
     sizes = {r.dim: r.n for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each length
     plan = {dim: shards or max(SHARDS, -(-n * dim * 8 // SHARD_BYTES)) for dim, n in sizes.items()}
     if plan:
@@ -163,9 +165,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                     child, root = _forest(x[x != y], y[x != y])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q.ids[a : a + (1 << 14)][node], np.array(child, np.int64)])), pa.array([None] * len(node) + root, pa.int64()), pa.array(n.tolist() + [None] * len(child), pa.int64())], ["a", "b", "n"])
 
-    out = new_dir(spark, "vector-links")
-    tasks.repartition(max(1, min(n_tasks, 1 << 15))).mapInArrow(search, "a long, b long, n long").write.parquet(out)
-    found = spark.read.schema("a long, b long, n long").parquet(out)
+    found = cut(tasks.repartition(max(1, min(n_tasks, 1 << 15))), by=search, schema="a long, b long, n long")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     linked = components(found.where("b is not null"))
     done = nodes.join(counts, "id", "left").join(linked, F.col("id") == F.col("node"), "left")

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .sstable import filesystem
-from ..storage import new_dir, ship
+from ..storage import filesystem, new_dir, ship, store
 
 ROLL = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -153,9 +152,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, roll: int = ROLL, sh
         if state["out"] is not None:
             yield finish()
 
-    schema = "file string, records long, bytes long, sha1 string"
-    d.mapInArrow(write, schema).write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.schema(schema).parquet(f"{path}/manifest")
+    return store(d, f"{path}/manifest", write, "file string, records long, bytes long, sha1 string", batch=250)
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
