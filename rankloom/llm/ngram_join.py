@@ -173,6 +173,8 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
     rough[(often & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     shared = spark.sparkContext.broadcast((often, rough, seen))
     segment = FILTER_BITS >> bucket_bits
+    # Sets too small for the extended prefix (there are none from 75 % on), and what may be linked to them.
+    small = max((n for n in range(2, 10_000) if 2 * (100 - percent) * n // 100 + 2 > n), default=0) * 100 // percent if percent > 50 else 1 << 62
 
     def run(batches):
         often, rough, seen = shared.value
@@ -205,6 +207,8 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
                 if len(rare) < p:
                     last = (2 * (100 - percent) * n // 100 + 2) - len(rare)
                     common = g[f][:last]
+                    if n <= small:
+                        entries.append(common[: p - len(rare)])
                     if len(common) > 1:
                         entries.append(mix(common[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + common[1:]))
                 e = np.concatenate(entries)
@@ -239,10 +243,16 @@ def _resolved(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, table:
     meet = meet.select("key", F.col("home").alias("x")).join(meet.select("key", F.col("home").alias("y")), "key").where("x <= y").select("x", "y").distinct()
     parts = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 256))).alias("parts"))
     lists = home.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
-    lists = cut(lists.repartition("home", "part").groupBy("home", "part").agg(F.collect_list(F.struct("sig", "n", "c", "rep_id", "bits")).alias("items")), n, batch=16)
+    span = [f(c).alias(f.__name__ + c) for c in ("n", "c") for f in (F.min, F.max)]
+    lists = cut(lists.repartition("home", "part").groupBy("home", "part").agg(*span, F.collect_list(F.struct("sig", "n", "c", "rep_id", "bits")).alias("items")), n, batch=16)
+    # Blocks of one component, or whose sizes are too far apart, are left out before the lists are joined.
+    x, y = (lists.drop("items").toDF(h, f"p{h}", f"n0{h}", f"n1{h}", f"c0{h}", f"c1{h}") for h in "xy")
+    meet = meet.join(y, "y").join(x, "x").where("x < y or px <= py")
+    meet = meet.where((100 * F.col("n1x") >= percent * F.col("n0y")) & (100 * F.col("n1y") >= percent * F.col("n0x")))
+    meet = meet.where(~((F.col("c0x") == F.col("c1x")) & (F.col("c0y") == F.col("c1y")) & (F.col("c0x") == F.col("c0y")))).select("x", "px", "y", "py")
     x = lists.select(F.col("home").alias("x"), F.col("part").alias("px"), F.col("items").alias("ix"))
     y = lists.select(F.col("home").alias("y"), F.col("part").alias("py"), F.col("items").alias("iy"))
-    blocks = meet.join(y, "y").join(x, "x").where("x < y or px <= py").select((F.col("x") == F.col("y")).alias("same"), (F.col("px") == F.col("py")).alias("one"), "ix", "iy", F.xxhash64("x", "px", "y", "py").alias("block"))
+    blocks = meet.join(y, ["y", "py"]).join(x, ["x", "px"]).select((F.col("x") == F.col("y")).alias("same"), (F.col("px") == F.col("py")).alias("one"), "ix", "iy", F.xxhash64("x", "px", "y", "py").alias("block"))
 
     def columns(items: pa.StructArray):
         number = [items.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
