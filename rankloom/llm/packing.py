@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..storage import cut
-from .rows import append
 from .tokens import encoder
 
 BUCKETS = 16
@@ -61,7 +60,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, step: int = 1, id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
-    """(doc_id, n_tokens, bucket, boundary, batch, position, padding), one row per row of ``lengths``.
+    """(doc_id, n_tokens, bucket, boundary, batch, position, padding), one row per row of ``lengths``, which is read twice.
 
     A batch has up to floor(budget / boundary) documents of a bucket, at least one, so a document over the budget is a
     batch of its own; documents fill a bucket's batches in the order of (id, length), nulls first.  padding is boundary -
@@ -72,7 +71,6 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, step:
     """
     spark = lengths.sparkSession
     d = lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens"))
-    d = cut(d)
     at = F.ceil(F.col("n_tokens") / step).cast("long") * step
     histogram = sorted(d.groupBy(at.alias("length")).count().collect())  # one row for each distinct length
     bounds = boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
@@ -106,21 +104,25 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, step:
     return d.select("doc_id", "n_tokens", "bucket", "boundary", F.floor(place / room).alias("batch"), F.pmod(place, room).alias("position"), (F.col("boundary") - F.col("n_tokens")).alias("padding"))
 
 
-def token_lengths(docs: DataFrame, tokenizer: str, end_ids: int = 1, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, the number of ids of the whole text and end_ids more; a null text has no ids of its own."""
-    at = docs.columns.index(text_col)
+def token_lengths(docs: DataFrame, tokenizer: str, end_ids: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens), stored: the number of ids of the whole text and end_ids more; a null text has no ids of its own."""
 
-    def count(b, encode):
-        return [[len(encode(t.as_py())) // encode.width + end_ids for t in b.column(at)]]
+    def count(batches):
+        encode = encoder(tokenizer)
+        for b in batches:
+            n = [len(encode(t.as_py())) // encode.width + end_ids for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        encode.rest()
 
-    return append(docs, "n_tokens long", count, lambda: encoder(tokenizer))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return cut(rows, batch=250, by=count, schema="doc_id long, n_tokens long")
 
 
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens"))
+    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 QUERIES = {"op5_length_buckets": op5_length_buckets}

@@ -171,10 +171,14 @@ def _entities(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
-    def make(b: pa.RecordBatch) -> list:
-        return [[surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], [attempt] * b.num_rows]
+    """(kind, canon, made), stored."""
 
-    return append(entities.select("kind", "canon"), "made string, attempt int", make)
+    def run(batches):
+        for b in batches:
+            made = [surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["kind", "canon", "made"])
+
+    return cut(entities.select("kind", "canon"), by=run, schema="kind string, canon string, made string")
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -186,7 +190,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     settled, pending = None, cut(entities.select("kind", "canon").distinct())
     originals = pending.select("kind", F.col("canon").alias("made"))
     for attempt in range(ATTEMPTS):
-        drawn = cut(_drawn(pending, key, attempt))
+        drawn = _drawn(pending, key, attempt)
         free = drawn.join(originals, ["kind", "made"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("kind", "made"), ["kind", "made"], "left_anti")

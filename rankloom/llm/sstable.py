@@ -202,6 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards
                     out = fs.open_output_stream(temporary)
                     writer, first = Writer(out, encode.width), key_of(doc)
                 writer.add(last := key_of(doc), encode(text.as_py()) + end)
+        encode.rest()
         if writer:
             entries = writer.close()
             out.close()

@@ -92,6 +92,11 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self._signs)
         return b"".join([self._ids[t.id] for t in self._tokenize(word)])
 
+    def rest(self) -> None:
+        """Let go of the older words, at the end of a task."""
+        if self._words is not None:
+            self._words.old = {}
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
