@@ -42,8 +42,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A bucket, batch and position for each document, by the number of its tokens."""
-    counted = packing.token_lengths(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(counted.select("doc_id", "n_tokens"))
+    return packing.pack(packing.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
