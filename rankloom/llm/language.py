@@ -27,7 +27,7 @@ GRAMS = 4
 SAMPLE, LANGUAGES = 300, 256
 LANDMARKS = 50
 #: Least probability at which the pipeline's stage keeps a document.
-LEAST = 0.3
+LEAST = 0.26
 
 _letters: list[np.ndarray] = []
 
