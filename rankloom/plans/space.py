@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import BROADCAST_ROWS, Graph
-from ..storage import cut
+from ..storage import cut, drop_dir, new_dir, store
 
 #: Edges and nodes up to which a graph is solved as arrays (24 and 8 bytes each).
 ARRAY_EDGES, ARRAY_NODES = 1 << 22, 1 << 21
@@ -104,6 +104,7 @@ class TableSpace(Space):
     """Edges are stored once, hashed by source; the vectors' table is stored anew by each product."""
 
     def __init__(self, p: Graph, v: DataFrame | None):
+        self._spark, self._last = p.nodes.sparkSession, None
         self._parts = int(p.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self._edges = cut(p.edges.select("src", "dst", "w").repartition(self._parts, "src"))
         state = p.nodes.select("id")
@@ -135,7 +136,11 @@ class TableSpace(Space):
         side = self._state.select(F.col("id").alias("src"), F.col(x).alias("__x"))
         side = F.broadcast(side) if self.n <= BROADCAST_ROWS else side
         y = self._edges.join(side, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("__x")).alias(name))
-        self._state = cut(self._state.join(y, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
+        path = new_dir(self._spark, "state")
+        self._state = store(self._state.join(y, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0))), path)
+        if self._last:  # nothing reads the table before this one any more
+            drop_dir(self._spark, self._last)
+        self._last = path
         return name
 
     def lin(self, *terms):
@@ -153,6 +158,7 @@ class TableSpace(Space):
         self._state = self._state.select("id", *(["v"] if self._personal else []), *dict.fromkeys(vectors))
 
     def table(self, x):
+        self._last = None  # the result reads it
         return self._state.select("id", F.col(x).alias("x"))
 
 
