@@ -390,8 +390,9 @@ def _joined(docs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFra
     reps = cut(ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), size.rows)
     links = _verified(docs, reps, pairs, n_multi, k, table, percent)
     found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
-    # Entries whose members the first round left in more than one component: whatever of theirs is still apart.
-    left = multi.join(found, "sig")
+    # Entries whose members the first round left in more than one component: whatever of theirs is still apart.  The
+    # entry's first member has been held against all others, so no link of its own is missing.
+    left = multi.where("sig != rep").join(found, "sig")
     apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
     left = cut(left.join(apart, "key").select("key", "size", "sig", "n", "c"), n_multi)
     if not left.isEmpty():
