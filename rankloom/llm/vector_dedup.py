@@ -1,7 +1,8 @@
 """Near-duplicate vectors by HNSW graphs, one for each hash shard, every shard queried with every vector.
 
-Equal vectors are one node.  A shard's task builds its graph and audits it: the links of sampled nodes, found by brute
-force within the shard, must be found by beams, which are widened until they are.  Queries whose beam is full of links
+Equal vectors are one node.  Each shard gives a sample of its nodes, and every shard is audited with the samples of all:
+their links to other nodes, found by brute force, must be found by beams, which are widened until they are, for
+each class of group sizes on its own; a shard with few audited links takes the beam that all shards together need.  Queries whose beam is full of links
 get a wider one, and beyond MAX_BEAM a scan of the whole shard, so groups of any size are counted in full.  Links are
 verified by cosine in double precision.  A task reports counts and a spanning forest of its links, never the pairs.
 """
@@ -23,7 +24,7 @@ from .text import mix
 #: Shards at least, and the bytes of double-precision vectors in one at most.
 SHARDS, SHARD_BYTES = 8, 128 << 20
 BEAM, MAX_BEAM = 32, 256
-#: Nodes sampled for a shard's audit, and the part of their links that beams must find.
+#: Nodes that each shard gives to the audits of all, and the part of their links that beams must find in each class.
 AUDIT, RECALL = 256, 0.99
 
 
@@ -42,7 +43,6 @@ class _Shard(NamedTuple):
     counts: np.ndarray
     unit: np.ndarray  # double precision
     graph: Graph
-    beam: int
 
 
 def _load(path: str) -> _Shard:
@@ -50,7 +50,7 @@ def _load(path: str) -> _Shard:
     with fs.open_input_file(name) as f:
         z = np.load(io.BytesIO(f.read()))
     unit = z["unit"]
-    return _Shard(z["ids"], z["counts"], unit, Graph(unit.astype(np.float32), [z[f"level{i}"] for i in range(int(z["n_levels"]))]), int(z["beam"]))
+    return _Shard(z["ids"], z["counts"], unit, Graph(unit.astype(np.float32), [z[f"level{i}"] for i in range(int(z["n_levels"]))]))
 
 
 def _links(s: _Shard, q: np.ndarray, least: float, beam: int):
@@ -84,6 +84,60 @@ def _links(s: _Shard, q: np.ndarray, least: float, beam: int):
     return r[keep], c[keep]
 
 
+def _audit(s: _Shard, samples, least: float) -> list[tuple[int, int, int, int]]:
+    """(beam, class, links, found) for each beam tried, the last one holding; samples: (ids, unit vectors), one after the other.
+
+    A query's class is the binary logarithm of the number of its links to nodes other than itself; those without are
+    left out.  After MAX_BEAM the shard is scanned, which finds all.
+    """
+    queries, own, true = [], [], []
+    for ids, unit in samples:
+        for a in range(0, len(ids), step := max(1, min(len(ids), (1 << 23) // max(1, len(s.ids))))):
+            n = ((unit[a : a + step] @ s.unit.T >= least) & (ids[a : a + step, None] != s.ids)).sum(1)
+            some = np.flatnonzero(n)
+            queries.append(unit[a : a + step][some])
+            own.append(ids[a : a + step][some])
+            true.append(n[some])
+    if not sum(map(len, own)):
+        return []
+    queries, own, true = np.concatenate(queries), np.concatenate(own), np.concatenate(true)
+    kind = np.log2(true).astype(np.int64)
+    links = np.bincount(kind, weights=true).astype(np.int64)
+    out, beam, holds = [], BEAM, False
+    while not holds:
+        found = np.zeros(len(own), np.int64)
+        if beam > MAX_BEAM:
+            found = true
+        else:
+            for a in range(0, len(own), AUDIT):
+                r, c = _links(s, queries[a : a + AUDIT], least, beam)
+                other = own[a : a + AUDIT][r] != s.ids[c]
+                found[a : a + AUDIT] = np.bincount(r[other], minlength=len(own[a : a + AUDIT]))
+        of = np.bincount(kind, weights=found).astype(np.int64)
+        out += [(beam, int(k), int(links[k]), int(of[k])) for k in np.flatnonzero(links)]
+        holds, beam = bool((of >= RECALL * links).all()), beam * 2
+    return out
+
+
+def _beams(audits: dict[str, list[tuple[int, int, int, int]]]) -> dict[str, int]:
+    """The beam of each shard, from the audits of all shards of one length.
+
+    It is the shard's own, or a wider one that is the least at which every class holds over all shards; at beams
+    wider than its own, a shard counts with what its own has found.
+    """
+    own = {k: max([beam for beam, *_ in rows], default=BEAM) for k, rows in audits.items()}
+    floor = BEAM
+    while True:
+        links, found = {}, {}
+        for k, rows in audits.items():
+            for beam, kind, n, m in rows:
+                if beam == min(floor, own[k]):
+                    links[kind], found[kind] = links.get(kind, 0) + n, found.get(kind, 0) + m
+        if all(found[k] >= RECALL * links[k] for k in links):
+            return {k: max(b, floor) for k, b in own.items()}
+        floor *= 2
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     """Links (child, root) that join what the links (a, b) join."""
     parent: dict[int, int] = {}
@@ -137,19 +191,42 @@ def _linked(spark: SparkSession, vectors: DataFrame, least: float, id_col: str,
         unit = v / np.abs(v).max(1, keepdims=True)
         unit /= np.sqrt(np.einsum("kd,kd->k", unit, unit))[:, None]
         graph = Graph.build(unit.astype(np.float32), levels)
-        s, beam = _Shard(ids, counts, unit, graph, 0), BEAM
-        some = unit[:: max(1, len(ids) // AUDIT)]
-        true = int((some @ unit.T >= least).sum())
-        while beam <= MAX_BEAM and len(_links(s, some, least, beam)[0]) < RECALL * true:
-            beam *= 2
         fs, at = filesystem(top)
         fs.create_dir(at, recursive=True)
         with fs.open_output_stream(f"{at}/{name}.npz.tmp") as f:
-            f.write(graph.dump(ids=ids, counts=counts, unit=unit, beam=beam))
+            f.write(graph.dump(ids=ids, counts=counts, unit=unit))
         fs.move(f"{at}/{name}.npz.tmp", f"{at}/{name}.npz")
-        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "path": [f"{top}/{name}.npz"], "n": pa.array([len(ids)], pa.int64()), "beam": pa.array([beam], pa.int32())})
-
-    built = cut(sharded.groupBy("shard").applyInArrow(build, "dim int, path string, n long, beam int"))
+        some = slice(None, None, max(1, len(ids) // AUDIT))
+        sample = io.BytesIO()
+        np.savez(sample, ids=ids[some], unit=unit[some])
+        with fs.open_output_stream(f"{at}/{name}.sample.tmp") as f:
+            f.write(sample.getvalue())
+        fs.move(f"{at}/{name}.sample.tmp", f"{at}/{name}.sample")
+        return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "path": [f"{top}/{name}.npz"], "n": pa.array([len(ids)], pa.int64())})
+
+    built = cut(sharded.groupBy("shard").applyInArrow(build, "dim int, path string, n long"))
+    shards_of: dict[int, list[str]] = {}
+    for r in built.select("dim", "path").collect():  # a row for each shard
+        shards_of.setdefault(r.dim, []).append(r.path)
+
+    def sampled(paths):
+        for path in paths:
+            fs, name = filesystem(path)
+            with fs.open_input_file(name.removesuffix("npz") + "sample") as f:
+                z = np.load(io.BytesIO(f.read()))
+            yield z["ids"], z["unit"]
+
+    def audit(batches):
+        for b in batches:
+            for dim, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = [(path, *r) for r in _audit(_load(path), sampled(shards_of[dim]), least)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(5)], ["path", "beam", "kind", "links", "found"])
+
+    audits: dict[str, list] = {path: [] for paths in shards_of.values() for path in paths}
+    audited = cut(built.select("dim", "path").repartition(max(1, min(len(audits), 1 << 15))), by=audit, schema="path string, beam long, kind long, links long, found long")
+    for r in audited.collect():  # a row for each shard, beam and class
+        audits[r.path].append((r.beam, r.kind, r.links, r.found))
+    beams = {k: b for paths in shards_of.values() for k, b in _beams({p: audits[p] for p in paths}).items()}
     tasks = built.alias("x").join(built.alias("y"), "dim").select(F.col("x.path").alias("of"), F.col("y.path").alias("in"))
     n_tasks = sum(x * x for x in plan.values())
 
@@ -158,7 +235,7 @@ def _linked(spark: SparkSession, vectors: DataFrame, least: float, id_col: str,
             for of, within in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 q, s = _load(of), _load(within)
                 for a in range(0, len(q.ids), 1 << 14):
-                    r, c = _links(s, q.unit[a : a + (1 << 14)], least, s.beam)
+                    r, c = _links(s, q.unit[a : a + (1 << 14)], least, beams[within])
                     x, y = q.ids[a : a + (1 << 14)][r], s.ids[c]
                     node, at = np.unique(r, return_inverse=True)
                     n = np.bincount(at, weights=s.counts[c], minlength=len(node)).astype(np.int64)

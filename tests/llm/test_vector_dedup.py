@@ -70,6 +70,39 @@ def test_recall_of_the_graph():
         assert links.max() < len(links) and not (links == np.arange(len(links))[:, None]).any()
 
 
+def damaged(n=2000, partners=2):
+    """A shard of random vectors whose graph loses nodes n - partners and on: each is found only from entries of its own."""
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(n, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    order, levels = Graph.order(mix(np.arange(n, dtype=np.uint64)))
+    g = Graph.build(unit.astype(np.float32), levels)
+    for links in g.levels:
+        links[links >= n - partners] = -1
+    return vd._Shard(np.arange(n), np.ones(n, np.int64), unit, g)
+
+
+def test_audit_leaves_self_links_out():
+    s = damaged()
+    some = slice(None, 1022, 4)
+    queries = s.unit[-2:] + 1e-3  # nodes of another shard, next to the lost ones
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    samples = [(s.ids[some], s.unit[some]), (np.array([5000, 5001]), queries)]
+    # counted with self links, 256 of 258 links would be found
+    assert len(vd._links(s, s.unit[some], 0.9, vd.BEAM)[0]) == 256 >= vd.RECALL * 258 and not len(vd._links(s, queries, 0.9, vd.BEAM)[0])
+    rows = vd._audit(s, samples, 0.9)
+    assert rows[0] == (vd.BEAM, 0, 2, 0) and rows[-1][0] > vd.MAX_BEAM and rows[-1][2:] == (2, 2)
+    assert vd._audit(s, samples[:1], 0.9) == []
+    assert vd._audit(damaged(partners=0), samples, 0.9) == [(vd.BEAM, 0, 2, 2)]
+
+
+def test_beams_hold_in_each_class_and_over_all_shards():
+    good, small = [(32, 0, 100, 100), (32, 9, 10**6, 10**6)], [(32, 0, 100, 50), (32, 9, 10**6, 10**6), (64, 0, 100, 100), (64, 9, 10**6, 10**6)]
+    assert vd._beams({"a": good, "b": []}) == {"a": 32, "b": 32}
+    assert vd._beams({"a": good, "b": small, "c": []}) == {"a": 64, "b": 64, "c": 64}
+    assert vd._beams({str(i): good for i in range(99)} | {"b": small, "c": []}) == {str(i): 32 for i in range(99)} | {"b": 64, "c": 32}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vd.near_duplicates(df).count() == 0
