@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates: keyed, of the same type and format, distinct, and the same wherever an entity recurs.
 
 An entity is a kind and a canonical form: an address in lower case, a number's digits, one word of a name.  Its
-surrogate comes from a keyed hash of both.  All distinct entities are held against each other and against the originals;
+surrogate comes from a keyed hash of both.  Names are found after forms of address, and wherever a name so found
+recurs in the same text as a whole word of the same letter case.  All distinct entities are held against each other and against the originals;
 of those whose surrogates clash all but the smallest draw again, until none do.  Texts are then rewritten where
 they are read, with the few redrawn entities at hand.  The key decides everything, so runs and shards agree.
 """
@@ -32,12 +33,18 @@ PATTERNS = (
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{2,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\w)|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
 )
-#: Forms of address before a name, by gender.
-TITLES = {"m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita", "Госпожа")}
+#: Forms of address before a name, by gender; "" tells none.
+TITLES = {
+    "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Profesor", "Господин"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doctora", "Profesora", "Госпожа"),
+    "": ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Доктор", "Профессор"),
+}
 #: First names of surrogates, by gender and script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl Dario Emil Felix Georg Hugo Ivan Jonas Karim Leon Marco Niels Oscar Pablo".split(),
     ("f", "latin"): "Alma Berta Clara Dora Elena Frida Greta Hanna Irma Julia Karla Lena Maria Nora Olga Paula".split(),
+    ("", "latin"): "Alexis Chris Dominique Eden Jamie Jules Kim Luca Morgan Noa Quinn Robin Sascha Toni Yael".split(),
+    ("", "cyrillic"): "Саша Женя Валя Слава Шура Мика".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия".split(),
 }
@@ -47,7 +54,11 @@ SYLLABLES = {
     "cyrillic": "бар бел вол гор дав зар кал кор лан мар мел мор нал нов пет пол рам сав сел тар тор фад хар".split(),
 }
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?[  ]([^\W\d_]+(?:-[^\W\d_]+)?)(?:[  ]([^\W\d_]+(?:-[^\W\d_]+)?))?")
+_TITLE = rf"(?:{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})"
+_WORD = rf"(?!{_TITLE}(?!\w))([^\W\d_]+(?:-[^\W\d_]+)?)"
+_NAME = re.compile(rf"(?<!\w)({_TITLE}(?:\.?[  ]{_TITLE}(?!\w))*)\.?[  ]{_WORD}(?:[  ]{_WORD})?")
+
+_SINGLE, _PAIR = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)"), re.compile(r"(?<!\w)(?=([^\W\d_]+-[^\W\d_]+)(?!\w))")
 
 
 def script_of(word: str) -> str:
@@ -143,13 +154,26 @@ def find(text: str) -> list[tuple[int, int, str]]:
     elif "@" in text:
         found += [(m.start(), 0, m.end(), "email") for m in PATTERNS[0][1].finditer(text)]
     if any(t in text for t in _TITLE_GENDER):
+        names, genders = [], {}
         for m in _NAME.finditer(text):
-            gender = _TITLE_GENDER[m[1]]
+            gender = next((g for t in re.split(r"\W+", m[1]) if (g := _TITLE_GENDER[t])), "")
             words = [i for i in (2, 3) if m[i] and m[i][0].isupper() and (i == 2 or m[2][0].isupper())]
             for i in words:
                 what, script = "given" if i == 2 and len(words) == 2 else "surname", script_of(m[i])
                 sex = "" if (what, script) == ("surname", "latin") else gender  # one family, one name
-                found.append((m.start(i), len(PATTERNS), m.end(i), f"{what}:{sex}:{script}"))
+                names.append((m.start(i), m.end(i), what, sex, script))
+                if sex:
+                    genders.setdefault((what, m[i]), sex)
+        kinds: dict[str, str] = {}
+        for a, e, what, sex, script in names:  # a title without gender takes that of another mention
+            kind = f"{what}:{sex or genders.get((what, text[a:e]), '')}:{script}"
+            found.append((a, len(PATTERNS), e, kind))
+            if e - a > 1:  # no initials
+                kinds.setdefault(text[a:e], kind)
+        if kinds:
+            if any("-" in w for w in kinds):
+                found += [(m.start(1), len(PATTERNS) + 1, m.end(1), kinds[m[1]]) for m in _PAIR.finditer(text) if m[1] in kinds]
+            found += [(m.start(), len(PATTERNS) + 2, m.end(), kinds[m[0]]) for m in _SINGLE.finditer(text) if m[0] in kinds]
     out, last = [], 0
     for start, _, end, kind in sorted(found):
         if start >= last:

@@ -40,6 +40,19 @@ def test_kinds_and_formats(spark):
     assert rest == TEXT[at:]
 
 
+def test_names_recur_without_titles(spark):
+    texts = ["Mr John Smith came. Smith agreed; John Smith's dog, Smithson and a blacksmith left. smith stays.", "Herr Prof. Dr. Jürgen Groß sprach mit Groß.", "Dr Maria Lopez met Mrs Maria Lopez and Sir Bors", "Доктор Анна Иванова и Анна", "Mr A saw A bee, Mr. and"]
+    got = rewritten(spark, texts)
+    made = [p.made for p in got[0].pii]
+    assert [texts[0][p.start : p.end] for p in got[0].pii] == ["John", "Smith", "Smith", "John", "Smith"]
+    assert made[0] == made[3] and made[1] == made[2] == made[4]
+    assert got[0].text == f"Mr {made[0]} {made[1]} came. {made[1]} agreed; {made[0]} {made[1]}'s dog, Smithson and a blacksmith left. smith stays."
+    assert [p.kind for p in got[1].pii] == ["given:m:latin", "surname::latin", "surname::latin"] and "Prof. Dr." in got[1].text and "Groß" not in got[1].text
+    assert [p.kind for p in got[2].pii] == ["given:f:latin", "surname::latin"] * 2 + ["surname::latin"] and got[2].pii[0].made == got[2].pii[2].made
+    assert [p.kind for p in got[3].pii] == ["given::cyrillic", "surname::cyrillic", "given::cyrillic"] and "Анна" not in got[3].text
+    assert got[4].n_pii == 1 and got[4].text.endswith(" saw A bee, Mr. and")
+
+
 def test_clean_texts_stay(spark):
     clean = ["The year 2024, page 12, 3.5 % and 1,000 words; chapter 4.2.1", "Mr. and mrs", "a @ b", "deadbeef0123456789abcdef01234567", None, "", "7.88.162", "1234567890123456789012345"]
     got = rewritten(spark, clean)
