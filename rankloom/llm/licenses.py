@@ -1,7 +1,7 @@
 """Licences in texts: ordered signature rules behind keyword gates, overlaps resolved by priority and containment.
 
-Rules run on the lower-cased UTF-8 bytes of whole texts.  A rule is tried only if its keyword occurs; most texts fail
-the first gate and cost a few searches.  Of the detections, those contained in one of higher priority (or of the same
+Rules run on the lower-cased UTF-8 bytes of whole texts.  A rule is tried only if one of its keywords occurs in
+the text with its white space made single spaces; most texts fail the first gate and cost a few searches.  Of the detections, those contained in one of higher priority (or of the same
 priority and not shorter) are suppressed.  The three base phrases are outside of that: all their places count.
 """
 
@@ -24,12 +24,12 @@ _GAP = rb"[^" + _W + rb"]+"
 #: Fixed phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, keyword, how the licence is named (on lower-cased text), and its SPDX identifiers.
+#: Label, keywords (one of them is in every match, white space made single spaces), how the licence is named (on lower-cased text), and its SPDX identifiers.
 LICENSES = (
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e,?(?: \(?the \"?licen[sc]e\"?\)?,?)? ?(?:version|v\.?)? ?2(?:\.0)?", r"apache-2\.0"),
     ("apache-1.1", "apache", r"apache software licen[sc]e,? ?(?:version|v\.?)? ?1\.1", r"apache-1\.1"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", r"apache-1\.0"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?:/x11)? licen[sc]e", r"mit(?:-0)?"),
+    ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?:/x11)? licen[sc]e", r"mit(?:-0)?"),
     ("bsd-2-clause", "bsd", r"(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[sc]e)?", r"bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:3-clause|three-clause|new|modified|revised) bsd(?: licen[sc]e)?", r"bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:4-clause|four-clause|original) bsd(?: licen[sc]e)?", r"bsd-4-clause"),
@@ -38,7 +38,7 @@ LICENSES = (
     ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e,?(?: \(gpl\))?,? ?(?:version|v\.?) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
     ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e,?(?: \(gpl\))?,? ?(?:version|v\.?) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
     ("gpl", "general public", r"gnu general public licen[sc]e", r"gpl"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.[01])?", r"lgpl-2\.[01](?:-only|-or-later|\+)?"),
+    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.[01])?", r"lgpl-2\.[01](?:-only|-or-later|\+)?"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e,? ?(?:version|v\.?) ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e", r"lgpl"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?:,? ?(?:version|v\.?) ?3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
@@ -53,7 +53,7 @@ LICENSES = (
     ("boost-1.0", "boost", r"boost software licen[sc]e", r"bsl-1\.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", r"wtfpl"),
+    ("wtfpl", "wtfpl|do what the fuck", r"wtfpl|do what the fuck you want to public licen[sc]e", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"cc0-1\.0"),
     ("cc-by-4.0", "cc by", r"cc by 4\.0", r"cc-by-4\.0"),
     ("cc-by-sa", "cc by-sa", r"cc by-sa(?: [1-4]\.0)?", r"cc-by-sa-[1-4]\.0"),
@@ -62,7 +62,7 @@ LICENSES = (
     ("cc-by-nc-sa", "cc by-nc-sa", r"cc by-nc-sa(?: [1-4]\.0)?", r"cc-by-nc-sa-[1-4]\.0"),
     ("cc-by-nc-nd", "cc by-nc-nd", r"cc by-nc-nd(?: [1-4]\.0)?", r"cc-by-nc-nd-[1-4]\.0"),
     ("cc", "creative commons", r"creative commons(?: attribution(?:[ -](?:sharealike|share alike|noncommercial|non-commercial|noderivatives|noderivs))*)?(?: [1-4]\.0)?(?: international| unported)? licen[sc]e", r"cc-by-[1-3]\.0"),
-    ("python-2.0", "python", r"python software foundation licen[sc]e|psf licen[sc]e", r"python-2\.0|psf-2\.0"),
+    ("python-2.0", "python|psf", r"python software foundation licen[sc]e|psf licen[sc]e", r"python-2\.0|psf-2\.0"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e", r"ofl-1\.1"),
     ("odbl-1.0", "open database", r"open database licen[sc]e|open data commons open database licen[sc]e", r"odbl-1\.0"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e", r"odc-by-1\.0"),
@@ -84,7 +84,7 @@ GRANTS = (
     (2, 0.9, r"licen[sc]e(?:s|d)?\s*[:=]\s*(?:the )?(?:NAME)"),
     (3, 0.7, r"(?:NAME)"),
 )
-#: Passages and notices: label, keyword, priority, score, pattern.
+#: Passages and notices: label, keywords, priority, score, pattern.
 NOTICES = (
     ("mit", "permission is hereby granted", 1, 0.95, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("isc", "permission to use, copy", 1, 0.9, r"permission to use, copy, modify, and/or distribute this software for any purpose"),
@@ -92,34 +92,39 @@ NOTICES = (
     ("gpl", "free software foundation", 1, 0.9, r"under the terms of the gnu general public licen[sc]e as published by\s+the free software foundation"),
     ("zlib", "provided 'as-is'", 2, 0.9, r"this software is provided 'as-is', without any express or implied"),
     ("warranty-disclaimer", "without warranty", 4, 0.4, r"without warranty of any kind"),
-    ("warranty-disclaimer", "as is", 4, 0.4, r"provided (?:by .{1,80} )?[\"']?as is[\"']?"),
+    ("warranty-disclaimer", "as is", 4, 0.4, r"provided (?:by (?s:.){1,80} )?[\"']?as is[\"']?"),
     ("public-domain", "public domain", 3, 0.7, r"(?:released |dedicated |placed )?(?:in|into|to) the public domain"),
     ("proprietary", "confidential", 3, 0.6, r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "prohibited", 3, 0.6, r"unauthori[sz]ed (?:copying|use|distribution|reproduction)[^.]{0,120} (?:strictly )?prohibited"),
     ("copyright", "copyright", 4, 0.4, r"copyright (?:\(c\)|\xc2\xa9|&copy;)? ?(?:19|20)[0-9]{2}"),
     ("copyright", "(c)", 4, 0.4, r"\(c\) ?(?:19|20)[0-9]{2}"),
 )
-#: No rule can match a text that has none of these.
-GATE = (b"licen", b"copyright", b"(c)", b"public domain", b"warranty", b"permission", b"redistribution", b"provided", b"prohibited", b"confidential", b"cc by", b"cc0", b"bsd", b"wtfpl", b"spdx", b"creative commons")
+#: No rule can match a text that has none of these; single words, as white space may be anything.
+GATE = (b"licen", b"copyright", b"(c)", b"domain", b"warranty", b"permission", b"redistribution", b"provided", b"prohibited", b"confidential", b"cc", b"bsd", b"wtfpl")
 
 
 class Rule(NamedTuple):
     label: str
     priority: int
     score: float
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
 
 
+def _spaces(pattern: str) -> str:
+    """The pattern with any white space where it has a space."""
+    return pattern.replace("[ -]", r"(?:\s+|-)").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def rules() -> list[Rule]:
     """All signature rules in order: every licence with its SPDX tag and each way of granting it, then the notices."""
     out = []
     for label, keyword, name, spdx in LICENSES:
-        out.append(Rule(label, 0, 1.0, b"spdx-license", re.compile((r"spdx-license-identifier:\s*\(?(?:%s)(?![0-9a-z.])" % spdx).encode("latin-1"))))
+        out.append(Rule(label, 0, 1.0, (b"spdx-license",), re.compile((r"spdx-license-identifier:\s*\(?(?:%s)(?![0-9a-z.])" % spdx).encode("latin-1"))))
         for priority, score, way in GRANTS:
-            out.append(Rule(label, priority, score, keyword.encode(), re.compile((r"(?<![0-9a-z])" + way.replace("NAME", name).replace(" ", r"\s+") + r"(?![0-9a-z])").encode("latin-1"))))
+            out.append(Rule(label, priority, score, tuple(keyword.encode().split(b"|")), re.compile((r"(?<![0-9a-z])" + _spaces(way.replace("NAME", name)) + r"(?![0-9a-z])").encode("latin-1"))))
     for label, keyword, priority, score, pattern in NOTICES:
-        out.append(Rule(label, priority, score, keyword.encode(), re.compile(pattern.replace(" ", r"\s+").replace(r"{1,80}\s+", "{1,80} ").encode("latin-1"))))
+        out.append(Rule(label, priority, score, tuple(keyword.encode().split(b"|")), re.compile(_spaces(pattern).encode("latin-1"))))
     return out
 
 
@@ -169,11 +174,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                 places.append(int(np.searchsorted(starts, part[i] + p)) - int(at[i]))
                                 labels.add(label)
                 if any(g in text for g in GATE):
-                    gates: dict[bytes, bool] = {}
+                    flat = b" ".join(text.split())
+                    gates: dict[tuple[bytes, ...], bool] = {}
                     for k, r in enumerate(all_rules):
-                        if r.keyword not in gates:
-                            gates[r.keyword] = r.keyword in text
-                        if gates[r.keyword]:
+                        if r.keywords not in gates:
+                            gates[r.keywords] = any(w in flat for w in r.keywords)
+                        if gates[r.keywords]:
                             found += [(r.priority, m.start(), m.end(), k) for m in r.pattern.finditer(text)]
                     found = suppress(found)
                 cp = lambda n: len(text[:n].decode("utf-8", "ignore"))

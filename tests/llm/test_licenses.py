@@ -45,6 +45,27 @@ def test_rules_and_suppression(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_gates_drop_nothing(spark):
+    short = {
+        "apache license 2.0": "apache-2.0", "apache license v2": "apache-2.0", "apache license, version 2": "apache-2.0", "general public license v3": "gpl,gpl-3.0",
+        "GNU General Public License version 3": "gpl,gpl-3.0", "expat license": "mit", "psf license": "python-2.0", "library general public license v2": "gpl,lgpl-2.1",
+        "do what the fuck you want to public license": "wtfpl", "mozilla public license v2.0": "mpl-2.0", "creative commons attribution-sharealike 4.0 license": "cc", "cc0 1.0 universal": "cc0-1.0",
+        "released into the public domain": "public-domain", "redistribution and use in source and binary forms": "bsd", "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "provided by the authors and contributors as is": "warranty-disclaimer", "copyright(c)2020": "copyright", "proprietary and confidential": "proprietary", "European Union Public Licence": "eupl-1.2",
+        "open data commons attribution license": "odc-by-1.0", "University of Illinois/NCSA Open Source License": "ncsa", "cc by-nc-sa 4.0": "cc-by,cc-by-nc-sa",
+    }
+    names = [n for _, _, name, _ in licenses.LICENSES for n in name.replace("[sc]", "s").replace("(?:", "").split("|")]
+    texts = [t.replace(" ", s) for t in [*short, *names] for s in (" ", "\n", "\r\n\t ", "  ")]
+    got = scan(spark, texts)
+    rules = licenses.rules()
+    for i, t in enumerate(texts):
+        low = lower(t).encode()
+        found = licenses.suppress([(r.priority, m.start(), m.end(), k) for k, r in enumerate(rules) for m in r.pattern.finditer(low)])
+        assert sorted({rules[k].label for *_, k in found}) == sorted({d.label for d in got[i].detections}), t
+    for i, (t, labels) in enumerate((t, x) for t, x in short.items() for _ in range(4)):
+        assert set(labels.split(",")) <= set(got[i].labels.split(",")), (t, got[i].labels)
+
+
 def test_suppression_against_brute_force():
     rng = random.Random(4)
     for _ in range(300):
