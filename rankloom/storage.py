@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import io
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,9 +43,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where none is set (tests on one machine) a temporary one is made."""
+    """The shared folder.  Where none is set, a temporary one is made if all of Spark is one process; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             own = tempfile.mkdtemp(prefix="rankloom-")
