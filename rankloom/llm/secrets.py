@@ -6,6 +6,7 @@ matches: a match starts after all pieces and matches before it, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,6 +23,10 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Nats by which a run must look more random than ordinary; also the log of the prior odds against a secret.
 MARGIN = 12.0
 
+PLACE = "struct<start:bigint,kind:int,end:bigint,name:string,match:string>"
+#: Values that a fold gathers in one array.
+BLOCK = 128
+
 #: Words of ordinary identifiers and prose, for the built-in labelled sample.
 WORDS = (
     "get set user name list index count value string number total price order item part customer supplier nation region event page "
@@ -66,27 +71,65 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [log(n[True][i][j] / sum(n[True][i])) - log(n[False][i][j] / sum(n[False][i])) for i in range(k) for j in range(k)]
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _before(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """array<bigint>: for each of ``values`` what the associative ``op`` makes of all before it, ``zero`` for the first.
+
+    A fold copies its state at every step, so it goes by blocks of BLOCK: first their totals, then each from its start.
+    Blocks are taken out element by element, since slice copies the whole array.
+    """
+    nought = F.lit(zero).cast("long")
+
+    def running(x: Column, start: Column) -> Column:
+        first = F.struct(start.alias("s"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(x, first, lambda acc, v: F.struct(op(acc["s"], v).cast("long").alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")))["out"]
+
+    def walk(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.transform(F.sequence(i * BLOCK, F.least(i * BLOCK + BLOCK, F.size(x)) - 1), lambda j: F.get(x, j)))
+        starts = lambda p: running(F.transform(p, lambda part: F.aggregate(part, nought, lambda s, v: op(s, v).cast("long"))), nought)
+        return F.when(F.size(x) > 0, _let(parts, lambda p: F.flatten(F.zip_with(p, starts(p), running)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return _let(F.transform(values, lambda v: v.cast("long")), walk)
+
+
 def _places(text: Column, pattern: str, kind: int, name: str, group: int, least: int) -> Column:
-    """array<struct(start, kind, end, name, match)> of the matches whose group has the least length."""
+    """Array of PLACE: the matches whose group has the least length."""
     p = F.lit(pattern)
-    empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,name:string,match:string>>)")
     found = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("match"), F.regexp_extract_all(text, p, F.lit(group)).alias("part"), F.split(text, pattern, -1).alias("gap"))
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc.at + F.length(x.gap) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(F.length(x.part) >= least, F.concat(acc.spans, F.array(F.struct((acc.at + F.length(x.gap)).cast("bigint").alias("start"), F.lit(kind).alias("kind"), (acc.at + F.length(x.gap) + F.length(x["match"])).cast("bigint").alias("end"), F.lit(name).alias("name"), x["match"].alias("match"))))).otherwise(acc.spans).alias("spans"),
-        ),
-    ).spans
-    return F.when(F.regexp_like(text, p), walked).otherwise(empty)
+
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["match"])).alias("end"), F.lit(name).alias("name"), F.when(F.length(x["part"]) >= least, x["match"]).alias("match"))
+
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
+    walked = _let(found, lambda f: F.zip_with(f, _before(F.transform(f, length), 0, lambda a, b: a + b), place))
+    return F.when(F.regexp_like(text, p), F.filter(walked, lambda x: x["match"].isNotNull())).otherwise(F.expr(f"cast(array() as array<{PLACE}>)"))
 
 
 def _ratio(token: Column, table: list[float]) -> Column:
+    """The sum of the ratios of every symbol after another; the token is taken apart once."""
     k = len(SYMBOLS) + 1
     cells = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<double>")  # folded to one literal
-    code = lambda i: F.instr(F.lit(SYMBOLS), F.substr(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(cells, code(i) * k + code(i + 1) + 1))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    pairs = _let(codes, lambda x: F.zip_with(x, F.slice(x, 2, F.size(x)), lambda i, j: F.when(j.isNull(), 0.0).otherwise(F.element_at(cells, i * k + j + 1))))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _apart(places: Column) -> Column:
+    """Of places sorted by start, then kind, those of patterns and the runs that overlap none of these."""
+    run = lambda x: x["kind"] == len(BASE)
+
+    def kept(p: Column) -> Column:
+        furthest = _before(F.transform(p, lambda x: F.when(run(x), -1).otherwise(x["end"])), -1, F.greatest)
+        nearest = F.reverse(_before(F.reverse(F.transform(p, lambda x: F.when(run(x), 1 << 40).otherwise(x["start"]))), 1 << 40, F.least))
+        free = F.zip_with(F.zip_with(p, furthest, lambda x, end: F.when(~run(x) | (end <= x["start"]), x)), nearest, lambda x, start: F.when(~run(x) | (start >= x["end"]), x))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    return _let(places, kept)
 
 
 def secret_scan(docs: DataFrame, table: list[float], margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,13 +137,15 @@ def secret_scan(docs: DataFrame, table: list[float], margin: float = MARGIN, id_
 
     Places are code points with exclusive ends.  A run judged random is added with the name ``markov`` unless it
     overlaps a match of a pattern.  A null or empty text has no places; ids may be null or repeated; other columns are
-    ignored.  Texts are scanned whole, with no shuffle.
+    ignored.  Texts are scanned whole, with no shuffle, in time that grows with their length, however long a run or
+    many the matches.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     d = d.select("doc_id", F.concat(*(_places(F.col("text"), p, i, name, g, least) for i, (name, p, g, least) in enumerate(BASE))).alias("base"), _places(F.col("text"), CANDIDATE, len(BASE), "markov", 0, 2).alias("runs"))
-    random = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b.start < r.end) & (r.start < b.end)) & (_ratio(r["match"], table) > margin))
-    return d.select("doc_id", F.array_sort(F.concat("base", random)).alias("places"))
+    random = F.filter("runs", lambda r: _ratio(r["match"], table) > margin)
+    places = _let(random, lambda r: F.when(F.size(r) == 0, F.array_sort("base")).when(F.size("base") == 0, r).otherwise(_apart(F.array_sort(F.concat("base", r)))))
+    return d.select("doc_id", places.alias("places"))
 
 
 def _digest(places: Column) -> Column:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,31 @@ def test_models_yield_to_patterns(spark, table):
     assert [p[3] for p in places(spark, table, [text])[0]] == ["assign", "hex"]
 
 
+def test_long_runs_and_many_matches_take_linear_time(spark, table):
+    rng = random.Random(5)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"{rng.getrandbits(96):024x}{'Z' * (i % 2)}" for i in range(100_000))
+    mixed = " ".join(["secret=abcdefgh", run[:40], "ab" * 12] * 5000)
+    t = time.perf_counter()
+    got = places(spark, table, [run, many, mixed])
+    assert time.perf_counter() - t < 120  # some 20 here; quadratic ways take hours
+    assert got[0] == [(0, 3, 1_000_000, "markov")]
+    assert [p for p in got[1] if p[1] < 3] == base(many) and len(got[1]) == 100_000
+    assert [p[3] for p in got[2]] == ["assign", "markov", "hex"] * 5000 and [p for p in got[2] if p[1] < 3] == base(mixed)
+
+
+def test_runs_that_overlap_a_match_are_left_out(spark, table):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [rng.choice([" ", ", "]).join(rng.choice([word(30), "token=" + word(25), "a1" * 13 + word(20), "AKIA" + "B" * 20, word(6)]) for _ in range(rng.randrange(400))) for _ in range(12)]
+    for t, got in zip(texts, places(spark, table, texts).values()):
+        plain = base(t)
+        runs = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, t)]
+        free = {(a, e) for a, e in runs if not any(x < e and a < y for x, _, y, _ in plain)}
+        assert [p for p in got if p[1] < 3] == plain and {(p[0], p[2]) for p in got if p[1] == 3} <= free
+        assert len([p for p in got if p[1] == 3]) >= 0.9 * len([1 for a, e in free if e - a == 30])
+
+
 def test_odd_rows(spark, table):
     found = secrets.secret_scan(docs(spark), table)
     assert found.columns == ["doc_id", "places"] and found.count() == len(ROWS)
