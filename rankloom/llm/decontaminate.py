@@ -7,7 +7,7 @@ by running Karp-Rabin, and the covered part of the item decides; the order of th
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,59 +15,104 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..storage import cut
 from .rows import append
-from .text import ALNUM, rolling, words
+from .text import ALNUM, mix, rolling, words
 
 MIN_MATCH = 5
 COVERED = 0.5
+_BASE = 0xD1342543DE82EF95
 #: Characters of the benchmark that tasks hold at once; a larger one is taken in blocks, one pass over the documents each.
 BLOCK_CHARS = 32 << 20
 
 
-def tile(item: list[int], runs: list[list[int]], least: int) -> list[tuple[int, int, int, int]]:
+class _Windows:
+    """Karp-Rabin hashes of the windows of a sequence, of any length, and which of them hold no marked word."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray, power: np.ndarray):
+        self.words, self.free, self.power = words, free, power
+        # sums of word * base**place; times base**(a common length - place), a window's sum is its hash
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * power[: len(words)], dtype=np.uint64)])
+        self.room = np.zeros(0, np.int64)
+        self.measure()
+
+    def measure(self) -> None:
+        """Unmarked words from each place on."""
+        n = len(self.words)
+        self.room = np.minimum.accumulate(np.where(self.free, n, np.arange(n))[::-1])[::-1] - np.arange(n)
+
+    def hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the unmarked windows."""
+        at = np.flatnonzero(self.room[: len(self.words) - length + 1] >= length) if length <= len(self.words) else np.zeros(0, np.int64)
+        return at, (self.sums[at + length] - self.sums[at]) * self.power[len(self.power) - 1 - at]
+
+    def mark(self, at: int, length: int) -> None:
+        self.free[at : at + length] = False
+
+
+def tile(item: Sequence[int], runs: Sequence[Sequence[int]], least: int) -> list[tuple[int, int, int, int]]:
     """Greedy string tiling of ``item`` with the runs of a document: (place in item, run, place in run, length).
 
-    Running Karp-Rabin: with search length s, windows of s unmarked words of the item are hashed, those of the runs
-    looked up and extended; a match of over 2s restarts with its length, else the matches are marked from the longest
-    (ties: first in the item, then in the document) and s is halved, down to ``least``.
+    A longest match of unmarked words is marked again and again (ties: first in the item, then in the document), down
+    to ``least`` words.  The longest length is found by halving, each probe holding the Karp-Rabin hashes of all unmarked
+    windows of one length against those of the item; it only falls, and all matches of one length are marked in one
+    walk.  A level costs time in proportion to the words, so repeated words cost no more than others.
     """
-    free, free_runs = [True] * len(item), [[True] * len(r) for r in runs]
-    tiles, s = [], max(least, min(20, len(item)))
+    if not len(item) or not runs or least < 1:
+        return []
+    first = np.cumsum([0, *(len(r) + 1 for r in runs)])
+    words, free = np.zeros(int(first[-1]), np.uint64), np.zeros(int(first[-1]), bool)
+    for a, r in zip(first.tolist(), runs):  # a marked place after each run parts it from the next
+        words[a : a + len(r)], free[a : a + len(r)] = np.asarray(r, np.uint64), True
+    power = np.multiply.accumulate(np.full(len(words) + len(item) + 1, _BASE, np.uint64))
+    own, other = _Windows(np.asarray(item, np.uint64), np.ones(len(item), bool), power), _Windows(words, free, power)
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, x = own.hashes(length)
+        j, y = other.hashes(length)
+        known = np.unique(x)
+        k = np.minimum(np.searchsorted(known, y), max(len(known) - 1, 0))
+        hit = known[k] == y if len(known) else np.zeros(len(y), bool)
+        return i, x, j[hit], y[hit]
+
+    tiles, most = [], len(item)
     while True:
-        at = defaultdict(list)
-        for i in range(len(item) - s + 1):
-            if all(free[i : i + s]):
-                at[hash(tuple(item[i : i + s]))].append(i)
-        found, longest = [], 0
-        for r, run in enumerate(runs):
-            for j in range(len(run) - s + 1):
-                if all(free_runs[r][j : j + s]):
-                    for i in at.get(hash(tuple(run[j : j + s])), ()):
-                        n = 0
-                        while i + n < len(item) and j + n < len(run) and item[i + n] == run[j + n] and free[i + n] and free_runs[r][j + n]:
-                            n += 1
-                        if n >= s:
-                            found.append((-n, i, r, j))
-                            longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for n, i, r, j in sorted(found):
-            n = -n
-            if all(free[i : i + n]) and all(free_runs[r][j : j + n]):
-                free[i : i + n] = [False] * n
-                free_runs[r][j : j + n] = [False] * n
-                tiles.append((i, r, j, n))
-            else:  # part of it was marked meanwhile: what is left in front may still be a tile
-                k = 0
-                while k < n and free[i + k] and free_runs[r][j + k]:
-                    k += 1
-                if k >= s:
-                    free[i : i + k] = [False] * k
-                    free_runs[r][j : j + k] = [False] * k
-                    tiles.append((i, r, j, k))
-        if s == least:
+        low, high, found = least - 1, min(most, int(own.room.max(initial=0)), int(other.room.max(initial=0))), None
+        probe = high  # a whole copy is found at once
+        while low < high:
+            if len((got := shared(probe))[2]):
+                low, found = probe, got
+            else:
+                high = probe - 1
+            probe = (low + high + 1) // 2
+        if found is None:
             return tiles
-        s = max(least, s // 2)
+        most, (i, x, j, y) = low, found
+        order = np.argsort(y, kind="stable")
+        y, j = y[order], j[order]
+        start = {}
+        for p, h in zip(i.tolist(), x.tolist()):
+            if not own.free[p : p + most].all():
+                continue
+            a = start.get(h)
+            if a is None:
+                a = int(np.searchsorted(y, np.uint64(h)))
+            end = int(np.searchsorted(y, np.uint64(h), "right"))
+            while a < end:
+                q = int(j[a])
+                taken = np.flatnonzero(~other.free[q : q + most])
+                if len(taken):  # on to the first window past the last marked word of this one
+                    a += int(np.searchsorted(j[a:end], q + int(taken[-1]) + 1))
+                    continue
+                if (own.words[p : p + most] == other.words[q : q + most]).all():
+                    own.mark(p, most)
+                    other.mark(q, most)
+                    r = int(np.searchsorted(first, q, "right")) - 1
+                    tiles.append((p, r, q - int(first[r]), most))
+                    break
+                a += 1
+            start[h] = a
+        most -= 1
+        own.measure()
+        other.measure()
 
 
 class _Items:
@@ -103,47 +148,42 @@ class _Items:
         return at[self.seed[np.minimum(i, len(self.seed) - 1)] == g[at]]
 
     def covered(self, h: np.ndarray, at: dict[int, np.ndarray], least: float) -> dict[int, float]:
-        """Covered part of each item with at least ``least``, from a document's words and the places of its seeds by size."""
-        pairs = defaultdict(list)
-        for k, places in at.items():
-            g = rolling(h, k)[places]
-            a, b = np.searchsorted(self.seed, g), np.searchsorted(self.seed, g, "right")
-            for p, x, y in zip(places.tolist(), a.tolist(), b.tolist()):
-                for i in range(x, y):
-                    pairs[int(self.owner[i])].append((p, int(self.place[i])))
+        """Covered part of each item with at least ``least``, from a document's words and the places of its seeds by size.
+
+        Equal seeds of the document are looked up once, so only the items' places count, not their pairs with the document's.
+        """
         out = {}
-        for item, hits in pairs.items():
-            k, w = self.least[item], self.words[item]
-            reach = np.zeros(len(w) + k, bool)
-            for q in {q for _, q in hits}:
-                reach[q : q + k] = True
-            if reach.sum() < least * len(w):
-                continue
-            runs, last = [], -1
-            for p in sorted({p for p, _ in hits}):  # only within these runs can a tile lie
-                if p <= last:
-                    runs[-1][1] = p + k
-                else:
-                    runs.append([p, p + k])
-                last = p + k
-            copies, held = Counter(), []
-            for a, b in runs:  # of equal runs as many as could all be used
-                run = tuple(h[a:b].tolist())
-                copies[run] += 1
-                if copies[run] <= len(w) // k:
-                    held.append(run)
-            part = sum(n for *_, n in tile(w.tolist(), held, k)) / len(w)
-            if part >= least:
-                out[item] = part
+        for k, places in at.items():
+            seeds, which = np.unique(rolling(h, k)[places], return_inverse=True)
+            a, n = np.searchsorted(self.seed, seeds), np.searchsorted(self.seed, seeds, "right") - np.searchsorted(self.seed, seeds)
+            flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            owner, place, of = self.owner[flat], self.place[flat], np.repeat(np.arange(len(seeds)), n)
+            by = np.lexsort((place, owner))
+            owner, place, of = owner[by], place[by], of[by]
+            ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner))
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                item, q = int(owner[a]), place[a:b]
+                w = self.words[item]
+                if np.minimum(np.diff(q), k).sum() + k < least * len(w):
+                    continue
+                mine = np.zeros(len(seeds), bool)
+                mine[of[a:b]] = True
+                p = places[mine[which]]
+                breaks = np.flatnonzero(np.diff(p) > k)  # only within these runs can a tile lie
+                runs = [h[x : y + k] for x, y in zip(p[np.append(0, breaks + 1)].tolist(), p[np.append(breaks, len(p) - 1)].tolist())]
+                part = sum(n for *_, n in tile(w, runs, k)) / len(w)
+                if part >= least:
+                    out[item] = part
         return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = COVERED, min_match: int = MIN_MATCH, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with coverage (of the most covered item), n_items and items (ids with at least ``least`` covered, sorted).
+    """docs with coverage, n_items and items: the ids of the items with at least ``least`` covered, sorted, and the largest such part.
 
-    Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.  Items of fewer than
-    min_match words must occur whole; items without words, null items and null texts match nothing: coverage 0, no
-    items.  Columns of docs pass through, but for those with the three new names.  Repeated items count by distinct id.
+    coverage is 0 where no item reaches ``least``: parts below it aren't measured.  Words are runs of ASCII letters and
+    digits and of anything beyond ASCII, A-Z lower-cased.  Items of fewer than min_match words must occur whole; items
+    without words, null items and null texts match nothing: coverage 0, no items.  Columns of docs pass through, but for
+    those with the three new names.  Repeated items count by distinct id.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
