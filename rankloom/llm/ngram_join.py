@@ -11,11 +11,17 @@ tokens would do, and it is chosen from counts over all documents as the most fre
 Candidates are verified on the whole sets.  Copies with equal sets are one node; in each index entry the members are
 first held against one of them, that with the fewest rare tokens; where an entry then still spans components, its
 members in different components are held against each other in blocks.
+
+A node is named by 64 bits of its set's signature; of sets that clash there, which the other 64 bits tell, each but
+those of one signature takes its other half as name.  Shingles are compared by 64-bit hashes.  What remains: two sets with
+all 128 bits in common would be one node, and a clash of two shingles within one pair of documents counts as one shared
+shingle (about the product of the sizes in 2**64 pairs).
 """
 
 from __future__ import annotations
 
 from math import ceil, log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,13 @@ from .text import SPACED, mix, shingle_sets
 #: A token in more documents than this is of the frequent class, if it is among the MAX_FREQUENT most frequent.
 RARE = 16
 MAX_FREQUENT = 1 << 21
-#: Bits of the filter that spares index entries of tokens that only one document has: a fixed size, right at any load.
-FILTER_BITS = 1 << 27
+#: Most bits of the filter that spares index entries of tokens that only one document has: two for each token up to
+#: this, and right at any load; beyond, more entries are written that the next aggregate drops.
+FILTER_BITS = 1 << 29
+#: Sets that clash in 64 bits at most (a handful among 10**10 are expected).
+MAX_CLASHES = 1 << 20
+#: Homes that meet in an entry, or blocks that are held against one block, that stay in one group of rows.
+SPREAD = 64
 #: Tokens that a task gathers before it passes on their counts.
 GATHER = 1 << 21
 #: Members of a home that are held against those of another at once; a quarter of a thousand shingles each on average.
@@ -44,8 +55,43 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _half(g: np.ndarray, seed: int) -> int:
+    return int(mix(np.array([mix(g ^ np.uint64(seed)).sum() + np.uint64(len(g))], np.uint64))[0].view(np.int64))
+
+
 def _signature(g: np.ndarray) -> int:
-    return int(mix(np.array([mix(g ^ np.uint64(0xA24BAED4963EE407)).sum() + np.uint64(len(g))], np.uint64))[0].view(np.int64))
+    return _half(g, 0xA24BAED4963EE407)
+
+
+def _other(g: np.ndarray) -> int:
+    return _half(g, 0x9FB21C651E98DF25)
+
+
+def _name(g: np.ndarray, clashes: frozenset[int]) -> int:
+    """The name of a set's node."""
+    return _other(g) if (sig := _signature(g)) in clashes else sig
+
+
+class _Corpus(NamedTuple):
+    """Documents as (key, doc_id, text): the key tells texts apart, the id itself if no row lacks or repeats it."""
+
+    docs: DataFrame
+    k: int
+    table: np.ndarray
+    percent: int
+    kind: str  # of the key
+    clashes: frozenset[int] = frozenset()
+
+    @property
+    def plain(self) -> bool:
+        return self.kind == "long"
+
+
+def _corpus(docs: DataFrame, k: int, table: np.ndarray, percent: int) -> _Corpus:
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    plain = n.rows == n.ids
+    key = F.col("doc_id") if plain else F.md5(F.coalesce("text", F.lit("")))
+    return _Corpus(docs.select(key.alias("key"), "doc_id", "text"), k, table, percent, "long" if plain else "string")
 
 
 def _parity(g: np.ndarray) -> bytes:
@@ -64,36 +110,58 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def _sets(docs: DataFrame, k: int, table: np.ndarray, tokens: bool) -> DataFrame:
-    """(doc_id, sig, n, and the parities or the set), stored: each document's set, its signature and its size."""
+def _sets(c: _Corpus, docs: DataFrame, tokens: bool) -> DataFrame:
+    """(key, doc_id, sig, other, n, and the parities or the set), stored: each document's set, both halves of its signature and its size."""
+    k, table, clashes = c.k, c.table, c.clashes
 
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column(1), table, k))
-            cols = [b.column(0), pa.array([_signature(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64())]
+            sets = list(shingle_sets(b.column(2), table, k))
+            cols = [b.column(0), b.column(1), pa.array([_name(g, clashes) for g in sets], pa.int64()), pa.array([_other(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64())]
             if tokens:
                 ends = np.cumsum([0, *map(len, sets)])
                 cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
             else:
                 cols.append(pa.array([_parity(g) for g in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "n", "toks" if tokens else "bits"])
+            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "sig", "other", "n", "toks" if tokens else "bits"])
+
+    return cut(docs, batch=TEXTS, by=run, schema=f"key {c.kind}, doc_id long, sig long, other long, n long, " + ("toks array<long>" if tokens else "bits binary"))
 
-    return cut(docs, batch=TEXTS, by=run, schema="doc_id long, sig long, n long, " + ("toks array<long>" if tokens else "bits binary"))
 
+def _nodes(c: _Corpus, ids: DataFrame, rows: int) -> tuple[_Corpus, DataFrame, DataFrame]:
+    """(corpus with its clashes, ids, nodes): the nodes are (sig, rep, low, n, bits), rep a key of a text with that set, low the smallest id."""
+    nodes = ids.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("other").alias("o0"), F.max("other").alias("o1"))
+    nodes = cut(nodes, rows)
+    clashes = frozenset(r.sig for r in nodes.where("o0 != o1").select("sig").limit(MAX_CLASHES).collect())
+    if not clashes:
+        return c, ids, nodes.drop("o0", "o1")
+    if len(clashes) == MAX_CLASHES:
+        raise ValueError("too many signatures clash")
+    c = c._replace(clashes=clashes)
+    shared = ids.sparkSession.createDataFrame([(x,) for x in clashes], "sig long").withColumn("clash", F.lit(True))
+    ids = cut(ids.join(F.broadcast(shared), "sig", "left").withColumn("sig", F.when(F.col("clash"), F.col("other")).otherwise(F.col("sig"))).drop("clash"), rows)
+    return c, ids, cut(ids.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits")), rows)
+
+
+def _widths(spark: SparkSession, total: int) -> tuple[int, int]:
+    """(bits of a token's bucket, bits of the filter) for so many tokens."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket_bits = min(20, max(8, ceil(log2(parts * 4)), ceil(log2(max(total, 1) / GATHER + 1))))
+    return bucket_bits, max(8 << bucket_bits, min(FILTER_BITS, 1 << ceil(log2(max(total, 1) * 2))))
 
-def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+
+def _token_counts(c: _Corpus, total: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys of the frequent class sorted, filter of tokens in two documents or more, bits of a key).
 
     Tokens are counted by the upper bits of their hashes, about 12 more than tell all of them apart; a clash can
     only add a token to the class or the filter, which is harmless.  Tasks pass on blocks of sorted keys, one row
     for each of many ranges of the hash.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = min(20, max(8, ceil(log2(parts * 4)), ceil(log2(max(total, 1) / GATHER + 1))))
+    docs, k, table = c.docs, c.k, c.table
+    bucket_bits, filter_bits = _widths(docs.sparkSession, total)
     bits = min(64, max(bucket_bits + 32, ceil(log2(max(total, 2))) + 12))
     wide = np.uint32 if bits == bucket_bits + 32 else np.uint64
-    segment = FILTER_BITS >> bucket_bits
+    segment = filter_bits >> bucket_bits
     low = np.uint64((1 << (bits - bucket_bits)) - 1)
 
     def run(batches):
@@ -150,8 +218,8 @@ def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tup
 
     blocks = docs.select("text").mapInArrow(run, "bucket int, keys binary, at binary, n binary")
     counted = cut(blocks.repartition("bucket").sortWithinPartitions("bucket"), batch=TEXTS, by=count, schema="key long, df long, bits binary")
-    seen = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in counted.where("df < 0").select("key", "bits").toLocalIterator():  # FILTER_BITS in all
+    seen = np.zeros(filter_bits // 8, np.uint8)
+    for r in counted.where("df < 0").select("key", "bits").toLocalIterator():  # filter_bits in all
         seen[r.key * (segment // 8) : (r.key + 1) * (segment // 8)] = np.frombuffer(r.bits, np.uint8)
     levels = counted.where("df > 0").groupBy(F.ceil(F.log2("df") * 8).alias("level")).count().collect()  # 512 at most
     least, left = 1 << 30, MAX_FREQUENT
@@ -163,16 +231,16 @@ def _token_counts(docs: DataFrame, k: int, table: np.ndarray, total: int) -> tup
     return np.sort(often.column(0).to_numpy().view(np.uint64)), seen, bits
 
 
-def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int) -> DataFrame:
+def _index(c: _Corpus, total: int) -> DataFrame:
     """(key, sig, n, own), stored: the index entries of each document; own: how many of its tokens are rare."""
+    docs, k, table, percent, clashes = c.docs, c.k, c.table, c.percent, c.clashes
     spark = docs.sparkSession
-    often, seen, bits = _token_counts(docs, k, table, total)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = min(20, max(8, ceil(log2(parts * 4)), ceil(log2(max(total, 1) / GATHER + 1))))
+    often, seen, bits = _token_counts(c, total)
+    bucket_bits, filter_bits = _widths(spark, total)
     rough = np.zeros(1 << 20, bool)
     rough[(often & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     shared = spark.sparkContext.broadcast((often, rough, seen))
-    segment = FILTER_BITS >> bucket_bits
+    segment = filter_bits >> bucket_bits
     # Sets too small for the extended prefix (there are none from 75 % on), and what may be linked to them.
     small = max((n for n in range(2, 10_000) if 2 * (100 - percent) * n // 100 + 2 > n), default=0) * 100 // percent if percent > 50 else 1 << 62
 
@@ -214,7 +282,7 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
                 e = np.concatenate(entries)
                 if len(e):
                     keys.append(e)
-                    sigs.append(np.full(len(e), _signature(g), np.int64))
+                    sigs.append(np.full(len(e), _name(g, clashes), np.int64))
                     ns.append(np.full(len(e), n, np.int64))
                     own.append(np.full(len(e), len(rare), np.int64))
             if keys:
@@ -223,36 +291,54 @@ def _index(docs: DataFrame, k: int, table: np.ndarray, percent: int, total: int)
     return cut(docs.select("text"), batch=TEXTS, by=run, schema="key long, sig long, n long, own long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, table: np.ndarray) -> DataFrame:
-    """(doc_id, sig, n, toks) of the documents with these ids (a stored table), from their texts."""
+def _sets_of(c: _Corpus, wanted: DataFrame) -> DataFrame:
+    """(key, doc_id, sig, other, n, toks) of one document for each of these keys (a stored table), from its text."""
     wanted = F.broadcast(wanted.distinct()) if wanted.count() <= BROADCAST_IDS else wanted.distinct()
-    return _sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), k, table, True)
+    found = c.docs.join(wanted, "key", "left_semi")
+    return _sets(c, found if c.plain else found.dropDuplicates(["key"]), True)
+
 
+def _spread(df: DataFrame, n: str, by: list[str], copies: bool) -> DataFrame:
+    """df with a column ``salt`` below ceil(n / SPREAD): one by the hash of ``by``, or a copy of the row for each."""
+    most = F.ceil(F.col(n) / SPREAD).cast("int")
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), most - 1)) if copies else F.pmod(F.xxhash64(*by), most).cast("int"))
 
-def _resolved(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
+
+def _resolved(c: _Corpus, reps: DataFrame, left: DataFrame) -> DataFrame:
     """(a, b), stored: links that join whatever components have linked members in a common entry of ``left`` (key, size, sig, n, c).
 
     A pair may share many entries, so each node has one home, its largest entry; homes that meet in an entry are held
     against each other once, in blocks of BLOCK members.  Parities leave few pairs of a block; for these the sets are
     fetched and compared, but for pairs that earlier links of the block have joined.
     """
+    percent, key_type = c.percent, pa.int64() if c.plain else pa.string()
     home = left.groupBy("sig").agg(F.max(F.struct("size", "key")).key.alias("home"), F.first("n").alias("n"), F.first("c").alias("c"))
     n = left.count()
-    home = cut(home.join(reps.select("sig", "rep_id", "bits"), "sig"), n)
+    home = cut(home.join(reps.select("sig", "rep", "bits"), "sig"), n)
+    span = [f(x).alias(f.__name__ + x) for x in ("n", "c") for f in (F.min, F.max)]
+    spans = home.groupBy("home").agg(*span, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 256))).alias("parts"))
+    # Homes of one component, or whose sizes are too far apart, don't meet; an entry of many homes is dealt over tasks.
     meet = left.join(home.select("sig", "home"), "sig").select("key", "home").distinct()
-    meet = meet.select("key", F.col("home").alias("x")).join(meet.select("key", F.col("home").alias("y")), "key").where("x <= y").select("x", "y").distinct()
-    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 256))).alias("parts"))
-    lists = home.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
-    span = [f(c).alias(f.__name__ + c) for c in ("n", "c") for f in (F.min, F.max)]
-    lists = cut(lists.repartition("home", "part").groupBy("home", "part").agg(*span, F.collect_list(F.struct("sig", "n", "c", "rep_id", "bits")).alias("items")), n, batch=16)
-    # Blocks of one component, or whose sizes are too far apart, are left out before the lists are joined.
+    meet = meet.join(meet.groupBy("key").agg(F.count("*").alias("homes")), "key").join(spans.drop("parts"), "home")
+    x, y = (meet.toDF(h, "key", "homes", f"n0{h}", f"n1{h}", f"c0{h}", f"c1{h}") for h in "xy")
+    x, y = _spread(x, "homes", ["x"], False).drop("homes"), _spread(y, "homes", [], True).drop("homes")
+    apart = ~((F.col("c0x") == F.col("c1x")) & (F.col("c0y") == F.col("c1y")) & (F.col("c0x") == F.col("c0y")))
+    near_sizes = (100 * F.col("n1x") >= percent * F.col("n0y")) & (100 * F.col("n1y") >= percent * F.col("n0x"))
+    meet = x.join(y, ["key", "salt"]).where("x <= y").where(apart & near_sizes).select("x", "y").distinct()
+    lists = home.join(spans.select("home", "parts"), "home").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    lists = cut(lists.repartition("home", "part").groupBy("home", "part").agg(*span, F.collect_list(F.struct("sig", "n", "c", "rep", "bits")).alias("items")), n, batch=16)
+    # The same for blocks, before their lists are joined; a block that meets many others is copied for them.
     x, y = (lists.drop("items").toDF(h, f"p{h}", f"n0{h}", f"n1{h}", f"c0{h}", f"c1{h}") for h in "xy")
-    meet = meet.join(y, "y").join(x, "x").where("x < y or px <= py")
-    meet = meet.where((100 * F.col("n1x") >= percent * F.col("n0y")) & (100 * F.col("n1y") >= percent * F.col("n0x")))
-    meet = meet.where(~((F.col("c0x") == F.col("c1x")) & (F.col("c0y") == F.col("c1y")) & (F.col("c0x") == F.col("c0y")))).select("x", "px", "y", "py")
-    x = lists.select(F.col("home").alias("x"), F.col("part").alias("px"), F.col("items").alias("ix"))
-    y = lists.select(F.col("home").alias("y"), F.col("part").alias("py"), F.col("items").alias("iy"))
-    blocks = meet.join(y, ["y", "py"]).join(x, ["x", "px"]).select((F.col("x") == F.col("y")).alias("same"), (F.col("px") == F.col("py")).alias("one"), "ix", "iy", F.xxhash64("x", "px", "y", "py").alias("block"))
+    meet = cut(meet.join(y, "y").join(x, "x").where("x < y or px <= py").where(apart & near_sizes).select("x", "px", "y", "py"))
+    blocks, copies = meet, {}
+    for h in "yx":
+        deals = meet.groupBy(h, f"p{h}").agg(F.count("*").alias("blocks"))
+        blocks = _spread(blocks.join(deals, [h, f"p{h}"]), "blocks", ["x", "px", "y", "py"], False).drop("blocks").withColumnRenamed("salt", f"s{h}")
+        own = lists.select(F.col("home").alias(h), F.col("part").alias(f"p{h}"), F.col("items").alias(f"i{h}")).join(deals, [h, f"p{h}"])
+        copies[h] = _spread(own, "blocks", [], True).drop("blocks").withColumnRenamed("salt", f"s{h}")
+    for h in "yx":
+        blocks = blocks.join(copies[h], [h, f"p{h}", f"s{h}"])
+    blocks = blocks.select((F.col("x") == F.col("y")).alias("same"), (F.col("px") == F.col("py")).alias("one"), "ix", "iy", F.xxhash64("x", "px", "y", "py").alias("block"))
 
     def columns(items: pa.StructArray):
         number = [items.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -296,10 +382,10 @@ def _resolved(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, table:
                     _, i, j = f[:, np.argsort(f[0], kind="stable")]
                     out.append((b.column(4)[r].as_py(), sx[i], sy[j], cx[i], cy[j], np.unique(np.concatenate([sx[i], sy[j]])), np.unique(np.concatenate([dx[i], dy[j]]))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in range(1, 7)]], ["block", "a", "b", "ca", "cb", "sigs", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in range(1, 6)], pa.array([o[6].tolist() for o in out], pa.list_(key_type))], ["block", "a", "b", "ca", "cb", "sigs", "keys"])
 
-    rough = cut(blocks.select("same", "one", "ix", "iy", "block"), n, batch=16, by=near, schema="block long, a array<long>, b array<long>, ca array<long>, cb array<long>, sigs array<long>, docs array<long>")
-    sets = _sets_of(docs, rough.select(F.explode("docs").alias("doc_id")), k, table)
+    rough = cut(blocks.select("same", "one", "ix", "iy", "block"), n, batch=16, by=near, schema=f"block long, a array<long>, b array<long>, ca array<long>, cb array<long>, sigs array<long>, keys array<{c.kind}>")
+    sets = _sets_of(c, rough.select(F.explode("keys").alias("key")))
     nodes = rough.select("block", F.explode("sigs").alias("sig")).join(sets.select("sig", "toks"), "sig")
     nodes = nodes.groupBy("block").agg(F.collect_list(F.struct("sig", "toks")).alias("sets"))
 
@@ -331,14 +417,15 @@ def _resolved(docs: DataFrame, reps: DataFrame, left: DataFrame, k: int, table:
     return cut(rough.join(nodes, "block").select("a", "b", "ca", "cb", "sets"), n, batch=4, by=check, schema="a long, b long")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int, k: int, table: np.ndarray, percent: int) -> DataFrame:
-    """(a, b), stored: of the pairs of signatures (``most`` or fewer) those that are linked, as the smallest ids of documents with these sets.
+def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b), stored: of the pairs of nodes (``most`` or fewer) those that are linked.
 
     The parities, a sixty-fourth of the sets' size, rule out pairs that must differ in too many tokens; the sets of
     the rest are made anew from their texts and compared in full.
     """
-    x = reps.select(F.col("sig").alias("a"), F.col("rep_id").alias("da"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    y = reps.select(F.col("sig").alias("b"), F.col("rep_id").alias("db"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    percent = c.percent
+    x = reps.select(F.col("sig").alias("a"), F.col("rep").alias("da"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    y = reps.select(F.col("sig").alias("b"), F.col("rep").alias("db"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def near(batches):
         for b in batches:
@@ -348,13 +435,13 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int, k:
             ok = pa.array((100 + percent) * ((na + nb - apart) // 2) >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1, 6, 7)], ["a", "b", "da", "db"])
 
-    rough = pairs.join(y, "b").join(x, "a").where("da is not null and db is not null")
-    rough = cut(rough.select("a", "b", "na", "nb", "ba", "bb", "da", "db"), most, by=near, schema="a long, b long, da long, db long")
-    sets = _sets_of(docs, rough.select(F.col("da").alias("doc_id")).union(rough.select(F.col("db").alias("doc_id"))), k, table)
+    rough = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "ba", "bb", "da", "db")
+    rough = cut(rough, most, by=near, schema=f"a long, b long, da {c.kind}, db {c.kind}")
+    sets = _sets_of(c, rough.select(F.col("da").alias("key")).union(rough.select(F.col("db").alias("key"))))
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     both = rough.join(right, "b").join(left, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("da").alias("a"), F.col("db").alias("b"))
+    both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
     return cut(both, 4 * rough.count())  # sets are long: fewer rows a file
 
 
@@ -363,22 +450,48 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     Documents are linked when 100 * shared >= percent * all distinct k-word shingles of the two (50 <= percent <= 100).
     A null or empty text has no shingles, is linked with nothing and its own component; fewer than k words make one
-    shingle.  component_id is the smallest id reached by links; rows with equal ids are separate rows that share their
-    component; a row with a null id keeps its place and gets the component of its text, null if no other has it.
+    shingle.  component_id is the smallest id reached by links; rows with equal ids are separate rows, each with the
+    component of its own text; a row with a null id keeps its place and gets the component of its text, null if no row with an id has it.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
-    ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with scope(docs.sparkSession):
-        return cut(_joined(docs, k, table, percent), lasting=True)
+        return cut(_joined(docs, k, percent, id_col, text_col, table).select("doc_id", "n_shingles", "component_id"), lasting=True)
 
 
-def _joined(docs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
-    """The result of the join from (doc_id, text); it reads tables that go with the caller's scope."""
-    ids = _sets(docs, k, table, False)
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray = SPACED) -> DataFrame:
+    """docs with one row of each group of linked rows: that with the smallest id, one without an id only if no other is there.
+
+    Groups are as in ngram_jaccard_join, row by row: of rows that repeat an id, each stays or goes by its own text.  Ties
+    in the id go by the text's MD5 hash; of rows alike in both the smallest by all columns stays (so these must be of
+    types that can be ordered).  Rows without words all stay; all columns pass through.
+    """
+    spark = docs.sparkSession
+    with scope(spark):
+        found = cut(_joined(docs, k, percent, id_col, text_col, table).where("group is not null").select("key", "doc_id", "group"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        best = found.groupBy("group").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+        own = found.join(best, "group")
+        gone = cut(own.where(order != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), lasting=True)
+        again = own.where(order == F.col("best")).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("__rows")).where("__rows > 1").drop("__rows")
+        again = cut(again, lasting=True) if found.schema["key"].dataType.simpleString() == "string" else None  # ids are distinct otherwise
+    own_id = F.col(id_col).cast("long")
+    if again is None:
+        return docs.join(gone, own_id == F.col("__id"), "left_anti")
+    same = own_id.eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"))
+    kept = docs.join(gone, same, "left_anti")
+    one = kept.join(again, same).groupBy("__id", "__key").agg(F.min(F.struct(*[F.col(f"`{x}`") for x in docs.columns])).alias("row"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("row.*"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, table: np.ndarray) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id, group), from tables that go with the caller's scope; no group for a row without words."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
+    ship(docs.sparkSession)
+    c = _corpus(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, table, percent)
+    ids = _sets(c, c.docs, False)
     size = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
-    entries = _index(docs, k, table, percent, size.tokens)
+    c, ids, reps = _nodes(c, ids, size.rows)
+    entries = _index(c, size.tokens)
     keys = entries.groupBy("key").agg(F.min(F.struct("own", "sig", "n")).alias("low"), F.min("sig").alias("least"), F.max("sig").alias("most")).where("least != most")
     multi = cut(entries.join(keys.select("key", F.col("low.sig").alias("rep"), F.col("low.n").alias("rep_n")), "key").distinct(), entries.count())
     n_multi = multi.count()
@@ -387,19 +500,22 @@ def _joined(docs: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFra
         return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
     pairs = multi.where("sig != rep").where(alike("n", "rep_n")).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct()
-    reps = cut(ids.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), size.rows)
-    links = _verified(docs, reps, pairs, n_multi, k, table, percent)
-    found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
+    links = _verified(c, reps, pairs, n_multi)
+    linked = components(links)
     # Entries whose members the first round left in more than one component: whatever of theirs is still apart.  The
     # entry's first member has been held against all others, so no link of its own is missing.
+    found = reps.join(linked, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("c"))
     left = multi.where("sig != rep").join(found, "sig")
     apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
     left = cut(left.join(apart, "key").select("key", "size", "sig", "n", "c"), n_multi)
     if not left.isEmpty():
-        links = links.unionByName(_resolved(docs, reps, left, k, table, percent))
-        found = reps.join(components(links), F.col("rep_id") == F.col("node"), "left").select("sig", F.coalesce("component", "rep_id").alias("c"))
-    full = ids.where("n > 0").join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
-    return full.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        linked = components(links.unionByName(_resolved(c, reps, left)))
+    linked = linked.join(reps.select(F.col("sig").alias("node"), "low"), "node")
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lows, "component").select(F.col("node").alias("sig"), F.col("component").alias("group"), "component_id")
+    labels = reps.select("sig", "low").join(linked, "sig", "left").select("sig", F.coalesce("group", "sig").alias("group"), F.coalesce("component_id", "low").alias("component_id"))
+    full = ids.where("n > 0").join(labels, "sig").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "group")
+    return full.unionByName(ids.where("n = 0").select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

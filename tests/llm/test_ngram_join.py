@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -85,6 +86,43 @@ def test_a_group_of_near_copies_of_which_many_pairs_are_links(spark):
     assert sorted(map(tuple, nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_repeated_and_missing_ids(spark, monkeypatch, clash):
+    """Rows are linked by their own texts alone, whatever ids they share, and sets that clash in half a signature stay apart."""
+    if clash:
+        half = nj._half
+        monkeypatch.setattr(nj, "_half", lambda g, seed: half(g, seed) & 7 if seed == 0xA24BAED4963EE407 else half(g, seed))
+    monkeypatch.setattr(nj, "SPREAD", 2)
+    monkeypatch.setattr(nj, "BLOCK", 3)
+    rng = random.Random(21)
+    rows = [(d % 60 if rng.random() < 0.9 else None, t) for d, t in corpus(4, 300, 150)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places = brute(list(enumerate(t for _, t in rows)), 4, 85)
+    groups = {}
+    for i, n, c in places:
+        groups.setdefault(c, []).append(i)
+    want = [(rows[i][0], n, min((rows[j][0] for j in groups[c] if rows[j][0] is not None), default=None) if n else rows[i][0]) for i, n, c in places]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, nj.ngram_jaccard_join(df, 4, 85).collect()), key=key) == sorted(want, key=key)
+    kept = []
+    for c, members in groups.items():
+        if places[members[0]][1] == 0:
+            kept += [rows[i] for i in members]
+        else:
+            kept.append(min((rows[i] for i in members), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())))
+    text = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, nj.drop_near_duplicates(df, 4, 85).collect()), key=text) == sorted(kept, key=text)
+
+
+def test_rows_that_share_an_id_go_one_by_one(spark):
+    x, y = "one two three four five six seven eight", "other words of a text that is unlike the first"
+    df = spark.createDataFrame([(1, x, "a"), (9, x, "b"), (9, y, "c"), (None, x, "d"), (7, y + " but", None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text, r.source) for r in nj.drop_near_duplicates(df.where("source is not null")).collect()) == [(1, x, "a"), (9, y, "c")]
+    assert sorted((r.doc_id, r.component_id) for r in nj.ngram_jaccard_join(df.where("doc_id is not null")).collect()) == [(1, 1), (7, 7), (9, 1), (9, 7)]
+    assert nj.drop_near_duplicates(docs(spark)).columns == docs(spark).columns and nj.drop_near_duplicates(empty(spark)).count() == 0
+
+
 def test_parities_are_a_lower_bound():
     rng = np.random.default_rng(5)
     for _ in range(200):
