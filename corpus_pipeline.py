@@ -6,6 +6,8 @@ one's docs.  All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,25 +25,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 80 % of their five-word shingles the one with the smallest id stays."""
-    found = ngram_join.ngram_jaccard_join(docs, k=5, percent=80)
-    gone = found.where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of rows linked by 80 % of their five-word shingles one stays, that with the smallest id.
+
+    Row by row: of rows that repeat an id each stays or goes by its own text, a null id yields to any other.  Rows
+    without words stay.  An empty table stays empty; columns that documents lack are dropped.
+    """
+    return ngram_join.drop_near_duplicates(docs, k=5, percent=80).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which half or more of a benchmark item is found, in whatever order."""
+    """Rejects documents in which half or more of a benchmark item is found, in whatever order.
+
+    Row by row: repeated ids don't matter, null and empty texts stay, all stay if the benchmark is empty.
+    """
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("n_items = 0").select(*COLUMNS)
 
 
-def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by surrogates; n_chars follows the text."""
-    return pii.pseudonymise(docs, pii.DEMO_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes = pii.DEMO_KEY) -> DataFrame:
+    """Replaces personal data by surrogates drawn with ``key``; n_chars follows the text.
+
+    All rows stay, repeated ones and those without text too; a null text keeps null, also as n_chars.  An empty table stays empty.
+    """
+    return pii.pseudonymise(docs, key).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A bucket, batch and position for each document, by the number of its tokens."""
+    """A bucket, batch and position for each row, by the number of its tokens.
+
+    A null or empty text has its end token alone; ties in length go by id, then text; an empty table gives no batches.
+    """
     return packing.pack(packing.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -57,10 +70,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, options: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+    """The last stage's rows; ``options`` has keyword arguments by stage, such as the surrogates' secret key: {"pii_surrogates": {"key": b"..."}}."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir, **(options or {}).get(name, {})).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,8 +1,9 @@
 """Personal data replaced by surrogates: keyed, of the same type and format, distinct, and the same wherever an entity recurs.
 
-An entity is a kind and a canonical form: an address in lower case, a number's digits, one word of a name.  Its
-surrogate comes from a keyed hash of both.  Names are found after forms of address, and wherever a name so found
-recurs in the same text as a whole word of the same letter case.  All distinct entities are held against each other and against the originals;
+An entity is a kind and a canonical form: an address in lower case, an address's domain, a number's digits, one word of
+a name.  Its surrogate comes from a keyed hash of both.  Addresses of one domain keep one domain.  Names are found
+after forms of address, as a common first name with a capitalised word after it, and wherever a name so found recurs in
+the same text as a whole word of the same letter case.  All distinct entities are held against each other and against the originals;
 of those whose surrogates clash all but the smallest draw again, until none do.  Texts are then rewritten where
 they are read, with the few redrawn entities at hand.  The key decides everything, so runs and shards agree.
 """
@@ -39,6 +40,23 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doctora", "Profesora", "Госпожа"),
     "": ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Доктор", "Профессор"),
 }
+#: Common first names that show a name without a form of address, by gender; none that is also a usual word.
+FIRST_NAMES = {
+    "m": (
+        "Alexander Andrew Anthony Benjamin Charles Christopher Daniel David Edward George Henry James Jeffrey John Jonathan Joseph Kenneth Kevin Matthew Michael "
+        "Nicholas Patrick Paul Peter Richard Robert Ronald Samuel Stephen Steven Thomas Timothy William "
+        "Andreas Christoph Dieter Friedrich Günter Hans Heinrich Helmut Jürgen Klaus Matthias Stefan Uwe Wolfgang "
+        "Alain Antoine Baptiste Bernard Étienne François Guillaume Jacques Jean Julien Laurent Mathieu Nicolas Olivier Philippe Pierre Thierry "
+        "Alejandro Antonio Carlos Diego Enrique Fernando Francisco Javier Joaquín José Juan Luis Manuel Miguel Pedro Rafael Ricardo Roberto Sergio"
+    ).split(),
+    "f": (
+        "Amanda Amy Barbara Catherine Christine Deborah Elizabeth Emily Jennifer Jessica Karen Katherine Laura Linda Lisa Margaret Mary Melissa Michelle Nancy Patricia "
+        "Rachel Rebecca Sarah Sharon Stephanie Susan "
+        "Anke Brigitte Christa Gisela Heike Ingrid Katharina Monika Petra Renate Sabine Ursula "
+        "Amélie Camille Cécile Céline Chloé Claire Hélène Isabelle Juliette Nathalie Sophie Valérie Véronique "
+        "Carmen Concepción Cristina Dolores Francisca Isabel Josefa Lucía Mercedes Pilar Raquel Teresa"
+    ).split(),
+}
 #: First names of surrogates, by gender and script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl Dario Emil Felix Georg Hugo Ivan Jonas Karim Leon Marco Niels Oscar Pablo".split(),
@@ -58,6 +76,11 @@ _TITLE = rf"(?:{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})"
 _WORD = rf"(?!{_TITLE}(?!\w))([^\W\d_]+(?:-[^\W\d_]+)?)"
 _NAME = re.compile(rf"(?<!\w)({_TITLE}(?:\.?[  ]{_TITLE}(?!\w))*)\.?[  ]{_WORD}(?:[  ]{_WORD})?")
 
+_FIRST_GENDER = {n: g for g, ns in FIRST_NAMES.items() for n in ns}
+_KNOWN = re.compile(rf"({'|'.join(sorted(_FIRST_GENDER, key=len, reverse=True))})[  ]{_WORD}")
+#: No text without a match of this holds an entity; the first class spares the alternatives at most places.
+GATE = f"[0-9@]|(?=[{''.join(sorted({n[0] for n in (*_TITLE_GENDER, *_FIRST_GENDER)}))}])(?:{'|'.join((*_TITLE_GENDER, *_FIRST_GENDER))})"
+
 _SINGLE, _PAIR = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)"), re.compile(r"(?<!\w)(?=([^\W\d_]+-[^\W\d_]+)(?!\w))")
 
 
@@ -90,12 +113,15 @@ class _Draw:
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The canonical form of an entity's surrogate, of the same kind and shape; later attempts differ."""
     draw = _Draw(key, kind, canonical, attempt)
-    if kind == "email":
-        local = canonical.split("@")[0]
+    if kind == "domain":
+        name = canonical.rsplit(".", 1)[0]
+        return "".join(chr(97 + draw(26)) for _ in range(min(24, max(7, len(name))) + attempt // 8)) + ".example.org"
+    if kind == "email":  # the domain's own surrogate follows later
+        local, domain = canonical.split("@")
         shape = "".join(str(draw(10)) if c.isdigit() else c if c in "._%+-" else chr(97 + draw(26)) for c in local)
         room = sum(c.isalnum() for c in shape)
         shape += "".join(chr(97 + draw(26)) for _ in range(max(0, 8 - room) + attempt // 8))
-        return f"{shape}@{chr(97 + draw(26))}{chr(97 + draw(26))}{draw(10)}.example.org"
+        return f"{shape}@{domain}"
     if kind == "ip":
         return ".".join(str(draw(254) + 1) for _ in range(4))
     if kind == "iban":
@@ -144,6 +170,15 @@ def render(kind: str, text: str, made: str) -> str:
     return "".join(out) + "".join(rest)
 
 
+def made_for(key: bytes, kind: str, canon: str, attempts: dict[tuple[str, str], int]) -> str:
+    """The surrogate of an entity, given the entities that were drawn again and how often."""
+    made = surrogate(key, kind, canon, attempts.get((kind, canon), 0))
+    if kind == "email":
+        domain = canon.split("@")[1]
+        made = f"{made.split('@')[0]}@{surrogate(key, 'domain', domain, attempts.get(('domain', domain), 0))}"
+    return made
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, none overlapping another, by start."""
     found = []
@@ -153,8 +188,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 found += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text)]
     elif "@" in text:
         found += [(m.start(), 0, m.end(), "email") for m in PATTERNS[0][1].finditer(text)]
-    if any(t in text for t in _TITLE_GENDER):
-        names, genders = [], {}
+    names, genders = [], {}
+    for m in _KNOWN.finditer(text):
+        if m[2][0].isupper() and len(m[2]) > 1 and (not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
+            sex = _FIRST_GENDER[m[1]]
+            names += [(m.start(1), m.end(1), "given", sex, "latin"), (m.start(2), m.end(2), "surname", "", script_of(m[2]))]
+            genders.setdefault(("given", m[1]), sex)
+    if names or any(t in text for t in _TITLE_GENDER):
         for m in _NAME.finditer(text):
             gender = next((g for t in re.split(r"\W+", m[1]) if (g := _TITLE_GENDER[t])), "")
             words = [i for i in (2, 3) if m[i] and m[i][0].isupper() and (i == 2 or m[2][0].isupper())]
@@ -188,6 +228,7 @@ def _entities(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [(h, kind, canonical(kind, t[a:e])) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for a, e, kind in find(t)]
+            rows += [(h, "domain", canon.split("@")[1]) for h, kind, canon in rows if kind == "email"]
             rows = sorted(set(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canon"])
 
@@ -229,14 +270,14 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with the text rewritten, n_pii and pii: array<struct(kind, start, end, made)>, places in the original text.
 
-    Equal entities get equal surrogates in all rows, distinct ones distinct surrogates.  A null text stays null, one
-    without entities as it is; all other columns pass through but for n_pii and pii.  Hot entities cost nothing:
+    Equal entities get equal surrogates in all rows, distinct ones distinct surrogates, addresses of one domain one
+    domain.  A null text stays null, one without entities as it is; all other columns pass through but for n_pii and pii.  Hot entities cost nothing:
     they are made distinct by partial aggregates.
     """
     spark = docs.sparkSession
     ship(spark)
     whole = F.xxhash64(F.col(text_col))
-    texts = docs.where(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike("|".join(_TITLE_GENDER)))
+    texts = docs.where(F.col(text_col).rlike(GATE))
     with scope(spark):
         found = _entities(texts.select(whole.alias("h"), F.col(text_col).alias("t")))
         redrawn = cut(assign(found, key).where("attempt > 0"), lasting=True)
@@ -260,7 +301,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             parts, last, own = [], 0, []
             for a, e, kind in found:
                 canon = canonical(kind, t[a:e])
-                made = render(kind, t[a:e], surrogate(key, kind, canon, attempts.get((kind, canon), 0)))
+                made = render(kind, t[a:e], made_for(key, kind, canon, attempts))
                 parts += [t[last:a], made]
                 own.append({"kind": kind, "start": a, "end": e, "made": made})
                 last = e

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -53,6 +54,64 @@ def test_names_recur_without_titles(spark):
     assert got[4].n_pii == 1 and got[4].text.endswith(" saw A bee, Mr. and")
 
 
+def test_first_names_show_names(spark):
+    texts = ["John Smith, born 1970, met Smith.", "With Claire Dubois-Martin and claire dubois", "Elizabeth. The xJohn Smith and John smith"]
+    got = rewritten(spark, texts)
+    assert [p.kind for p in got[0].pii] == ["given:m:latin", "surname::latin", "surname::latin"] and got[0].pii[1].made == got[0].pii[2].made
+    assert got[1].n_pii == 2 and got[1].text.endswith("and claire dubois")
+    assert got[2].text == texts[2]
+
+
+def test_addresses_of_a_domain_keep_one(spark):
+    texts = ["jo@acme.de al@acme.de jo@other.com JO@ACME.DE"] + [f"a{i}@h{i}.com b{i}@h{i}.com" for i in range(40)]
+    got = rewritten(spark, texts)
+    made = [p.made for p in got[0].pii]
+    domain = [x.lower().split("@")[1] for x in made]
+    assert domain[0] == domain[1] == domain[3] != domain[2] and len(set(made)) == 4 and made[3] == made[0].upper()
+    domains = [{p.made.split("@")[1] for p in got[i].pii} for i in range(1, 41)]
+    assert all(len(d) == 1 for d in domains) and len(set().union(*domains)) == 40
+
+
+def parts(text, good):
+    """(start, end) of the maximal runs of characters that ``good`` takes."""
+    out, a = [], None
+    for i, c in enumerate(text + "\n"):
+        if i < len(text) and good(c):
+            a = i if a is None else a
+        elif a is not None:
+            out.append((a, i))
+            a = None
+    return out
+
+
+def detect(text):
+    """Addresses, numbers and titled names by hand, without patterns: for texts whose entities stand between spaces."""
+    out = []
+    for a, e in parts(text, lambda c: not c.isspace()):
+        w = text[a:e]
+        octets, groups = w.split("."), w.split("-")
+        if w.count("@") == 1 and all(w.split("@")) and "." in w.split("@")[1]:
+            out.append((a, e, "email"))
+        elif len(octets) == 4 and all(o.isascii() and o.isdigit() and str(int(o)) == o and int(o) < 256 for o in octets):
+            out.append((a, e, "ip"))
+        elif [len(g) for g in groups] == [3, 2, 4] and all(g.isascii() and g.isdigit() for g in groups):
+            out.append((a, e, "ssn"))
+        elif w.isascii() and w.isdigit() and 13 <= len(w) <= 19:
+            out.append((a, e, "card"))
+    words = parts(text, lambda c: not c.isspace())
+    names = {text[a:e] for (x, y), (a, e) in zip(words, words[1:]) if text[x:y] in ("Mr", "Frau")}
+    return sorted(out + [(a, e, "surname::latin") for a, e in words if text[a:e] in names])
+
+
+def test_against_a_detector_of_its_own():
+    rng = random.Random(31)
+    entities = ["jo.x@acme.de", "a@b.org", "10.0.0.1", "255.1.20.9", "123-45-6789", "4111111111111111", "Mr Smith said", "Frau Keller sagte", "Smith", "Keller", "Berg"]
+    near = ["256.1.1.1", "1.2.3", "01.2.3.4", "12-345-6789", "1234-56-789", "411111111111", "41111111111111111111", "a@b", "@x.org", "smith", "Smiths", "word", "x2024", "3.5", "1,000"]
+    for _ in range(3000):
+        text = rng.choice([" ", "\n"]).join(rng.choice(entities if rng.random() < 0.4 else near) for _ in range(rng.randrange(14)))
+        assert pii.find(text) == detect(text), text
+
+
 def test_clean_texts_stay(spark):
     clean = ["The year 2024, page 12, 3.5 % and 1,000 words; chapter 4.2.1", "Mr. and mrs", "a @ b", "deadbeef0123456789abcdef01234567", None, "", "7.88.162", "1234567890123456789012345"]
     got = rewritten(spark, clean)

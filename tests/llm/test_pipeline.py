@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline as cp
 import pytest
 
@@ -45,6 +47,19 @@ def test_each_stage_against_its_input(spark, steps):
     assert sorted(r.doc_id for r in steps[4][1].collect()) == sorted(private)
 
 
+def test_rows_that_share_an_id_stay_or_go_by_themselves(spark):
+    x, y = ("the people of the house and the water of the world are here", "where this was only one part of a much longer story")
+    rows = [(1, x, "en", "s", 1), (9, x, "en", "s", 1), (9, y, "en", "s", 1), (None, x, "en", "s", 1)]
+    got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2]])
+
+
+def test_the_key_reaches_the_surrogates(spark):
+    df = spark.createDataFrame([(1, "mail jo@acme.de", "en", "s", 1)], SCHEMA)
+    mine, other = (cp.replace_personal_data(spark, df, SF, key=k).first().text for k in (b"mine", b"other"))
+    assert mine != other and "acme" not in mine + other
+
+
 def test_run_gives_the_last_stage(spark, steps):
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(map(tuple, steps[4][1].collect()))
 
