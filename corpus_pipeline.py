@@ -18,9 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those that resemble no learned language; a missing lang is filled in."""
-    model = language.train(docs)
-    kept = language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= language.LEAST))
+    """Rejects texts without letters and those whose n-grams resemble no learned language; a missing lang is filled in.
+
+    Row by row, by the text alone: a null or empty one goes, repeated ids and rows don't matter.  All goes if no row has a label.
+    """
+    kept = language.identify(docs, language.train(docs)).where("lang_pred != 'und' and familiar")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

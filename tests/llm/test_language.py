@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,34 +12,106 @@ EN = "the house of the people and the water with this that which they have been
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden"
 
 
-def test_kernel_counts_shared_grams():
-    def grams(t):
-        out = set()
-        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
-            w = f" {w} "
-            for n in range(1, 5):
-                out |= {w[i : i + n] for i in range(len(w) - n + 1) if n <= 2 or " " not in w[i + 1 : i + n - 1]}
-        return out
+def grams(t):
+    out = set()
+    for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+        w = f" {w} "
+        for n in range(1, 5):
+            out |= {w[i : i + n] for i in range(len(w) - n + 1) if n <= 2 or " " not in w[i + 1 : i + n - 1]}
+    return out
 
+
+def test_kernel_counts_shared_grams():
     for a, b in ((EN, DE), (EN, EN[:40]), ("é É", "e"), ("x", "xx1x")):
-        x, y = language.presence(a), language.presence(b)
+        x, y = language.embed(a).slots, language.embed(b).slots
         ga, gb = grams(a), grams(b)
         # slots may clash: a few per cent at most
         assert abs(len(x) - len(ga)) <= 2 + 0.03 * len(ga)
         assert abs(len(np.intersect1d(x, y)) - len(ga & gb)) <= 2 + 0.03 * len(ga)
 
 
+def test_blocks_hold_every_word_once():
+    rng = random.Random(3)
+    for text in (" ".join("w" * rng.randrange(1, 40) for _ in range(3000)), "x" * 10_000, "..." + EN * 200 + "!!", "é" * (language.PIECE + 5)):
+        blocks = list(language._blocks(text))
+        assert all(len(b) <= language.BLOCK + 2 and b[0] == b[-1] == 32 for b in blocks)
+        joined = "".join(chr(c) for b in blocks for c in b.tolist())
+        assert joined.replace(" ", "") == "".join(c for c in text.lower() if c.isalpha())
+        v = language.embed(text)
+        assert abs(float((v.values.astype(float) ** 2).sum() * (len(v.slots) if len(v.values) == 1 else 1)) - 1) < 1e-5
+
+
 def test_no_letters():
     for t in (None, "", " \n", "123 !?", "\u0000"):
-        assert language.presence(t) is None
+        assert language.embed(t) is None
     assert language.predict(language.fit([EN], ["en"]), [None, "12", "the"])[0] == ["und", "und", "en"]
-    assert language.predict(language.fit([], []), ["the", None]) == (["und", "und"], [0.0, 0.0])
-
-
-def test_scores_equal_two_products():
-    texts, labels = [EN, DE, EN[:50], DE[:50], EN[20:], DE[30:]], ["en", "de"] * 3
-    names, scores = language.predict(language.fit(texts, labels, landmarks=2), [EN[10:60], DE[10:60]])
-    assert names == ["en", "de"] and all(0.5 < s <= 1 for s in scores)
+    assert language.predict(language.fit([], []), ["the", None]) == (["und", "und"], [0.0, 0.0], [False, False])
+
+
+def test_equals_direct_kernel_ridge_regression():
+    """With every text a landmark, Nystroem features are exact: the dual solution in kernels of gram sets must agree."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice((EN, DE)[i % 2].split()) for _ in range(rng.randrange(4, 30))) for i in range(40)]
+    labels, ridge = ["en", "de"] * 20, 1e-2
+    new = [EN[5:70], DE[9:50], "the die of und", "water"]
+    sets, own = [grams(t) for t in texts], [grams(t) for t in new]
+    cosine = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[cosine(a, b) for b in sets] for a in sets])
+    q = np.array([[cosine(a, b) for b in sets] for a in own])
+    target = np.where(np.array(labels)[:, None] == np.array(["de", "en"]), 1.0, -1.0)
+    centre = np.eye(40) - 1 / 40
+    value = np.linalg.eigvalsh(k)
+    dual = np.linalg.solve(centre @ k @ centre + ridge * 40 / (value > 1e-8 * value[-1]).sum() * np.eye(40), centre @ target)
+    want = (q - k.mean(0)) @ centre @ dual + target.mean(0)
+    model = language.fit(texts, labels, landmarks=20)
+    got = language._dense([language.embed(t) for t in new]) @ model.weights + model.offset
+    assert np.abs(got - want).max() < 0.05  # slots clash here and there
+    assert language.predict(model, new)[0] == [["de", "en"][i] for i in want.argmax(1)]
+
+
+def test_long_noisy_texts(spark):
+    rng = random.Random(6)
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and r.lang]
+    by = {}
+    for r in rows:
+        by.setdefault(r.lang, []).append(r.text)
+    model = language.fit([t for c in sorted(by) for t in by[c][:150]], [c for c in sorted(by) for _ in by[c][:150]])
+    for lang, texts in by.items():
+        words = " ".join(texts).split()
+        noisy = " ".join(rng.choice(words) if rng.random() > 0.15 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(200_000))
+        names, scores, _ = language.predict(model, [noisy, noisy[:3000]])
+        assert names == [lang, lang] and min(scores) > 0.8
+
+
+def test_foreign_and_junk_texts_are_unfamiliar(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    rng = random.Random(7)
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)), "人人生而自由,在尊严和权利上一律平等",
+    ]
+    assert language.predict(model, odd)[2] == [False] * 5
+    clean = [r.text for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    kept = language.predict(model, clean)[2]
+    assert sum(kept) >= 0.998 * len(kept)
+
+
+def test_many_labels_stay_within_bounds(spark):
+    rng = random.Random(9)
+    alphabet = [chr(c) for c in range(0x100, 0x250) if chr(c).isalpha()]
+    rows = []
+    for n in range(256):
+        words = ["".join(rng.choice(alphabet) for _ in range(4)) for _ in range(12)]
+        rows += [(n * 6 + i, " ".join(rng.choice(words) for _ in range(30)), f"l{n:03d}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len(model.languages) == 256 and model.weights.nbytes + model.known.nbytes <= 1 << 28
+    names, _, _ = language.predict(model, [t for _, t, _ in rows])
+    assert sum(a == b for a, (*_, b) in zip(names, rows)) >= 0.99 * len(rows)
+    assert len(language.train(df, languages=3).languages) == 3
+    small = language.train(df.where("doc_id < 12"), fit_bytes=1)
+    assert small.languages == ["l000", "l001"]  # a row each
 
 
 def test_held_out_accuracy(spark):
