@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .license_rules import MACROS, RULES
 from .rows import append
 from .text import ALNUM, buffers, chunks, word_spans
 
@@ -24,83 +25,16 @@ _GAP = rb"[^" + _W + rb"]+"
 #: Fixed phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, keywords (one of them is in every match, white space made single spaces), how the licence is named (on lower-cased text), and its SPDX identifiers.
-LICENSES = (
-    ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e,?(?: \(?the \"?licen[sc]e\"?\)?,?)? ?(?:version|v\.?)? ?2(?:\.0)?", r"apache-2\.0"),
-    ("apache-1.1", "apache", r"apache software licen[sc]e,? ?(?:version|v\.?)? ?1\.1", r"apache-1\.1"),
-    ("apache", "apache", r"apache(?: software)? licen[sc]e", r"apache-1\.0"),
-    ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?:/x11)? licen[sc]e", r"mit(?:-0)?"),
-    ("bsd-2-clause", "bsd", r"(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[sc]e)?", r"bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"(?:3-clause|three-clause|new|modified|revised) bsd(?: licen[sc]e)?", r"bsd-3-clause"),
-    ("bsd-4-clause", "bsd", r"(?:4-clause|four-clause|original) bsd(?: licen[sc]e)?", r"bsd-4-clause"),
-    ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e", r"0bsd"),
-    ("isc", "isc", r"isc licen[sc]e", r"isc"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e,?(?: \(gpl\))?,? ?(?:version|v\.?) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e,?(?: \(gpl\))?,? ?(?:version|v\.?) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gpl", "general public", r"gnu general public licen[sc]e", r"gpl"),
-    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.[01])?", r"lgpl-2\.[01](?:-only|-or-later|\+)?"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e,? ?(?:version|v\.?) ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e", r"lgpl"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?:,? ?(?:version|v\.?) ?3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", r"gfdl-1\.[123](?:-only|-or-later)?"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.0)?", r"mpl-2\.0"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e,? ?(?:version|v\.?) ?1\.1", r"mpl-1\.1"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e(?:,? ?(?:version|v\.?)? ?2(?:\.0)?)?", r"epl-2\.0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e,? ?(?:version|v\.?)? ?1\.0", r"epl-1\.0"),
-    ("cddl-1.0", "common development", r"common development and distribution licen[sc]e", r"cddl-1\.[01]"),
-    ("eupl-1.2", "european union public", r"european union public licen[sc]e", r"eupl-1\.[12]"),
-    ("artistic-2.0", "artistic", r"artistic licen[sc]e(?:,? ?(?:version|v\.?)? ?2(?:\.0)?)?", r"artistic-2\.0"),
-    ("boost-1.0", "boost", r"boost software licen[sc]e", r"bsl-1\.0"),
-    ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl|do what the fuck", r"wtfpl|do what the fuck you want to public licen[sc]e", r"wtfpl"),
-    ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"cc0-1\.0"),
-    ("cc-by-4.0", "cc by", r"cc by 4\.0", r"cc-by-4\.0"),
-    ("cc-by-sa", "cc by-sa", r"cc by-sa(?: [1-4]\.0)?", r"cc-by-sa-[1-4]\.0"),
-    ("cc-by-nc", "cc by-nc", r"cc by-nc(?: [1-4]\.0)?", r"cc-by-nc-[1-4]\.0"),
-    ("cc-by-nd", "cc by-nd", r"cc by-nd(?: [1-4]\.0)?", r"cc-by-nd-[1-4]\.0"),
-    ("cc-by-nc-sa", "cc by-nc-sa", r"cc by-nc-sa(?: [1-4]\.0)?", r"cc-by-nc-sa-[1-4]\.0"),
-    ("cc-by-nc-nd", "cc by-nc-nd", r"cc by-nc-nd(?: [1-4]\.0)?", r"cc-by-nc-nd-[1-4]\.0"),
-    ("cc", "creative commons", r"creative commons(?: attribution(?:[ -](?:sharealike|share alike|noncommercial|non-commercial|noderivatives|noderivs))*)?(?: [1-4]\.0)?(?: international| unported)? licen[sc]e", r"cc-by-[1-3]\.0"),
-    ("python-2.0", "python|psf", r"python software foundation licen[sc]e|psf licen[sc]e", r"python-2\.0|psf-2\.0"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e", r"ofl-1\.1"),
-    ("odbl-1.0", "open database", r"open database licen[sc]e|open data commons open database licen[sc]e", r"odbl-1\.0"),
-    ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e", r"odc-by-1\.0"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e", r"postgresql"),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e", r"ms-pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e", r"ms-rl"),
-    ("bsl-1.1", "business source", r"business source licen[sc]e", r"busl-1\.1"),
-    ("sspl-1.0", "server side public", r"server side public licen[sc]e", r"sspl-1\.0"),
-    ("elastic-2.0", "elastic", r"elastic licen[sc]e(?:,? ?(?:version|v\.?)? ?2(?:\.0)?)?", r"elastic-2\.0"),
-    ("openssl", "openssl", r"openssl licen[sc]e", r"openssl"),
-    ("ruby", "ruby", r"ruby licen[sc]e", r"ruby"),
-    ("ncsa", "illinois", r"university of illinois/ncsa open source licen[sc]e", r"ncsa"),
-    ("vim", "vim", r"vim licen[sc]e", r"vim"),
+#: The score of a detection by its rule's priority.
+SCORES = (1.0, 0.95, 0.9, 0.7, 0.4)
+#: No rule can match a text that has none of these; parts of single words, as white space may be anything.
+GATE = tuple(
+    w.encode("latin-1")
+    for w in (
+        "licen copyright (c) &copy; \xc2\xa9 domain warrant permission redistribution provided prohibited confidential reproduced portions consortium endorse advertising "
+        "misrepresented attribution invariant classpath itself jpeg mozilla apache openssl creative cc bsd gpl mpl asl al2 cddl gfdl cecill unencumbered fuck wtfpl rail as-is"
+    ).split(" ")
 )
-#: Ways in which a text puts itself under the licence NAME: priority, score, pattern.
-GRANTS = (
-    (1, 0.95, r"(?:licen[sc]ed|released|distributed|published|(?:made )?available|provided) (?:\w+ )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME)"),
-    (1, 0.95, r"(?:subject to|governed by|in accordance with|covered by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME)"),
-    (2, 0.9, r"licen[sc]e(?:s|d)?\s*[:=]\s*(?:the )?(?:NAME)"),
-    (3, 0.7, r"(?:NAME)"),
-)
-#: Passages and notices: label, keywords, priority, score, pattern.
-NOTICES = (
-    ("mit", "permission is hereby granted", 1, 0.95, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission to use, copy", 1, 0.9, r"permission to use, copy, modify, and/or distribute this software for any purpose"),
-    ("bsd", "redistribution and use", 1, 0.95, r"redistribution and use in source and binary forms"),
-    ("gpl", "free software foundation", 1, 0.9, r"under the terms of the gnu general public licen[sc]e as published by\s+the free software foundation"),
-    ("zlib", "provided 'as-is'", 2, 0.9, r"this software is provided 'as-is', without any express or implied"),
-    ("warranty-disclaimer", "without warranty", 4, 0.4, r"without warranty of any kind"),
-    ("warranty-disclaimer", "as is", 4, 0.4, r"provided (?:by (?s:.){1,80} )?[\"']?as is[\"']?"),
-    ("public-domain", "public domain", 3, 0.7, r"(?:released |dedicated |placed )?(?:in|into|to) the public domain"),
-    ("proprietary", "confidential", 3, 0.6, r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "prohibited", 3, 0.6, r"unauthori[sz]ed (?:copying|use|distribution|reproduction)[^.]{0,120} (?:strictly )?prohibited"),
-    ("copyright", "copyright", 4, 0.4, r"copyright (?:\(c\)|\xc2\xa9|&copy;)? ?(?:19|20)[0-9]{2}"),
-    ("copyright", "(c)", 4, 0.4, r"\(c\) ?(?:19|20)[0-9]{2}"),
-)
-#: No rule can match a text that has none of these; single words, as white space may be anything.
-GATE = (b"licen", b"copyright", b"(c)", b"domain", b"warranty", b"permission", b"redistribution", b"provided", b"prohibited", b"confidential", b"cc", b"bsd", b"wtfpl")
 
 
 class Rule(NamedTuple):
@@ -111,20 +45,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-def _spaces(pattern: str) -> str:
-    """The pattern with any white space where it has a space."""
-    return pattern.replace("[ -]", r"(?:\s+|-)").replace(" ?", r"\s*").replace(" ", r"\s+")
-
-
 def rules() -> list[Rule]:
-    """All signature rules in order: every licence with its SPDX tag and each way of granting it, then the notices."""
+    """All signature rules in order, compiled."""
     out = []
-    for label, keyword, name, spdx in LICENSES:
-        out.append(Rule(label, 0, 1.0, (b"spdx-license",), re.compile((r"spdx-license-identifier:\s*\(?(?:%s)(?![0-9a-z.])" % spdx).encode("latin-1"))))
-        for priority, score, way in GRANTS:
-            out.append(Rule(label, priority, score, tuple(keyword.encode().split(b"|")), re.compile((r"(?<![0-9a-z])" + _spaces(way.replace("NAME", name)) + r"(?![0-9a-z])").encode("latin-1"))))
-    for label, keyword, priority, score, pattern in NOTICES:
-        out.append(Rule(label, priority, score, tuple(keyword.encode().split(b"|")), re.compile(_spaces(pattern).encode("latin-1"))))
+    for label, priority, keywords, pattern, _ in RULES:
+        for name, value in MACROS.items():
+            pattern = pattern.replace(name, value)
+        pattern = pattern.replace("[ -]", r"(?:\s+|-)").replace(" ", r"\s+").replace("~", r"\s*")
+        out.append(Rule(label, priority, SCORES[priority], tuple(keywords.encode("latin-1").split(b"|")), re.compile(f"(?<![0-9a-z])(?:{pattern})(?![0-9a-z])".encode("latin-1"))))
     return out
 
 

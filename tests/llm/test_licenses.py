@@ -4,6 +4,7 @@ import random
 import re
 
 from rankloom.llm import licenses
+from rankloom.llm.license_rules import RULES
 from tests.llm.odd import ROWS, docs, empty, lower
 
 
@@ -54,8 +55,7 @@ def test_gates_drop_nothing(spark):
         "provided by the authors and contributors as is": "warranty-disclaimer", "copyright(c)2020": "copyright", "proprietary and confidential": "proprietary", "European Union Public Licence": "eupl-1.2",
         "open data commons attribution license": "odc-by-1.0", "University of Illinois/NCSA Open Source License": "ncsa", "cc by-nc-sa 4.0": "cc-by,cc-by-nc-sa",
     }
-    names = [n for _, _, name, _ in licenses.LICENSES for n in name.replace("[sc]", "s").replace("(?:", "").split("|")]
-    texts = [t.replace(" ", s) for t in [*short, *names] for s in (" ", "\n", "\r\n\t ", "  ")]
+    texts = [t.replace(" ", s) for t in [*short, *(example for *_, example in RULES)] for s in (" ", "\n", "\r\n\t ", "  ")]
     got = scan(spark, texts)
     rules = licenses.rules()
     for i, t in enumerate(texts):
@@ -66,6 +66,31 @@ def test_gates_drop_nothing(spark):
         assert set(labels.split(",")) <= set(got[i].labels.split(",")), (t, got[i].labels)
 
 
+def test_every_rule_takes_its_example_and_no_other_words(spark):
+    rules = licenses.rules()
+    assert len(rules) == len(RULES) == len({r[3] for r in RULES}) > 200
+    for rule, (*_, example) in zip(rules, RULES):
+        text = lower(example).encode()
+        assert rule.pattern.search(text) and any(w in b" ".join(text.split()) for w in rule.keywords) and any(w in text for w in licenses.GATE), rule
+        assert rule.pattern.search(b"\n  ".join(text.split())), rule  # wrapped
+        for other in (re.sub(rb"(?<=[a-z0-9])(?![a-z0-9])", b"x", text), re.sub(rb"(?<![a-z0-9])(?=[a-z0-9])", b"x", text)):
+            assert not rule.pattern.search(other), (rule, other)
+    got = scan(spark, [example for *_, example in RULES])
+    for i, (label, *_) in enumerate(RULES):
+        assert label in got[i].labels.split(","), (RULES[i], got[i].labels)
+
+
+def test_versions_and_spacing(spark):
+    want = {
+        "Apache License 2.0": "apache-2.0", "Apache License v2.0": "apache-2.0", "GNU General Public License v2": "gpl,gpl-2.0", "GNU Lesser General Public License v3": "gpl,lgpl-3.0",
+        "Mozilla Public License 2.0": "mpl-2.0", "Mozilla Public License v2.0": "mpl-2.0", "GNU GPLv3": "gpl-3.0", "GNU LGPL v2.1": "lgpl-2.1", "Copyright 2020 Foo": "copyright", "(c)2020": "copyright",
+        "GNU General Public License version 2.1": "gpl", "Mozilla Public License 2.01": "mpl", "Apache License 20": "apache", "GPLv20": "", "Copyright 20201": "", "(c) 1820": "", "a license to fish": "", "gnu gplx": "",
+        "the permitted use": "", "public domains": "", "Eclipse Public License 1.5": "epl", "CC BY 5.0": "cc-by", "simple mpl example": "", "apache licensed": "",
+    }
+    got = scan(spark, list(want))
+    assert [got[i].labels for i in range(len(want))] == list(want.values())
+
+
 def test_suppression_against_brute_force():
     rng = random.Random(4)
     for _ in range(300):
