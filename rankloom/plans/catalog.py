@@ -5,6 +5,7 @@ Doubles are rounded alike on both sides; ranks are multiplied by the number of n
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,11 +15,12 @@ from ..operators import graph as gr, placement, vectors as vec
 from ..operators.graph import Graph
 from ..sources.bsmat import read_bsmat, write_bsmat
 from ..sources.bvgraph import graph_properties, read_bvgraph, write_bvgraph
+from ..sources.dispatch import pick_format, read_graph
 from ..sources.vector import read_vector, write_vector
-from ..storage import new_dir
-from . import graphs
+from ..storage import filesystem, new_dir
+from . import graphs, solvers, space
 from .config import PageRankConfig
-from .pagerank import Result, pagerank, pagerank_derivative, sweep
+from .pagerank import PageRankSolver, Result, pagerank, pagerank_derivative, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -332,16 +334,98 @@ def _(spark, sf):
     return ranks.select("run_id", "id", F.round(F.col("x") * g.nodes.count(), 8).alias("x"))
 
 
-@query("sweep_runs", "SELECT * FROM (VALUES ('run0', 'power', 3, 'diverged_its', false), ('run1', 'power', 0, 'failed', true), ('run2', 'power', 3, 'diverged_its', false)) t(run_id, alg, iters, reason, failed)")
+@query("sweep_runs", "SELECT * FROM (VALUES ('run0', 'power', 3, 'diverged_its', false), ('run1', 'nosuch', 0, 'failed', true), ('run2', 'power', 3, 'diverged_its', false)) t(run_id, alg, iters, reason, failed)")
 def _(spark, sf):
     lines = ["-maxiter 3\r", "", "-alg nosuch", "-alpha 0.5 -maxiter 3"]
     runs = sweep(graphs.trade(spark, sf), lines, PageRankConfig(**_FIXED))[0]
-    return runs.select("run_id", F.lit("power").alias("alg"), F.coalesce("iters", F.lit(0)).alias("iters"), F.coalesce("reason", F.lit("failed")).alias("reason"), F.col("error").isNotNull().alias("failed"))
+    return runs.select("run_id", "alg", F.coalesce("iters", F.lit(0)).alias("iters"), F.coalesce("reason", F.lit("failed")).alias("reason"), F.col("error").isNotNull().alias("failed"))
+
+
+# the same by tables, as for graphs of any size; little damping, so that few steps are enough
+for _alg in ("power", "inout", "arnoldi", "linsys"):
+    query(f"{_alg}_table", _power_sql("trade", 0.2, 40))(
+        lambda spark, sf, c=PageRankConfig(algorithm=_alg, alpha=0.2, tol=1e-11): (lambda g: _ranks(g, pagerank(g, c, strategy="table")))(graphs.trade(spark, sf))
+    )
+
+
+@query("power_shuffled_table_k3", _power_sql("supply", 0.85, 3))
+def _(spark, sf):
+    """Beyond the bound of a broadcast: the vector moves to the edges' buckets."""
+    g = graphs.supply(spark, sf)
+    s = space.TableSpace(PageRankSolver(g).transition(PageRankConfig()), None, broadcast=False)
+    return _ranks(g, Result(s.table(solvers.power(s, PageRankConfig(maxiter=3, **_FIXED), s.teleport()).x), None, 3, None, None))
+
+
+@query("derivative_table", _with("trade", "SELECT a.id, round((a.x - b.x) / 2e-4 * (SELECT n FROM c), 3) + 0.0 AS x FROM r a JOIN r2 b ON a.id = b.id WHERE a.it = 40 AND b.it = 40", f", {_states(0.2001, 40)}, {_states(0.1999, 40).replace('r(it', 'r2(it', 1).replace('FROM r ', 'FROM r2 ').replace('JOIN r ', 'JOIN r2 ').replace('r.', 'r2.')}"))
+def _(spark, sf):
+    g = graphs.trade(spark, sf)
+    n = g.nodes.count()
+    return pagerank_derivative(g, PageRankConfig(alpha=0.2, tol=1e-11), strategy="table").ranks.select("id", (F.round(F.col("x") * n, 3) + 0.0).alias("x"))
+
+
+@query("sweep_table", " UNION ALL ".join(f"SELECT 'run{i}' AS run_id, id, x FROM ({_power_sql('trade', a, 3)})" for i, a in enumerate((0.5, 0.85))))
+def _(spark, sf):
+    g = graphs.trade(spark, sf)
+    ranks = sweep(g, ["-alpha 0.5 -maxiter 3", "-maxiter 3"], PageRankConfig(**_FIXED), strategy="table")[1]
+    return ranks.select("run_id", "id", F.round(F.col("x") * g.nodes.count(), 8).alias("x"))
+
+
+@query("run_header", _with("trade", "SELECT 'power' AS alg, 0.85::DOUBLE AS alpha, 10000 AS maxiter, 1e-7::DOUBLE AS tol, (SELECT round(max(s), 10) FROM (SELECT sum(pw) AS s FROM p GROUP BY dst)) AS norm1, (SELECT round(max(s), 10) FROM (SELECT sum(pw) AS s FROM p GROUP BY src)) AS norminf"))
+def _(spark, sf):
+    return PageRankSolver(graphs.trade(spark, sf)).run_info(PageRankConfig()).withColumn("norm1", F.round("norm1", 10)).withColumn("norminf", F.round("norminf", 10))
 
 
 # ------------------------------------------------------------------ sources and sinks
 
 
+@query("bsmat_gzip", TRADE)
+def _(spark, sf):
+    path = f"{new_dir(spark, 'files')}.bsmat"
+    write_bsmat(graphs.trade(spark, sf), path)
+    for name in (path, f"{path}.degs"):
+        fs, at = filesystem(name)
+        with fs.open_input_file(at) as f, fs.open_output_stream(f"{at.removesuffix('.degs')}{'.degs' * name.endswith('.degs')}.gz", compression=None) as out:
+            out.write(gzip.compress(f.read()))
+        fs.delete_file(at)
+    return read_graph(spark, f"{path}.gz").edges
+
+
+@query("smat_edges", TRADE)
+def _(spark, sf):
+    g, path = graphs.trade(spark, sf), f"{new_dir(spark, 'files')}.smat"
+    n, lines = g.nodes.count(), [" ".join(map(repr, e)) for e in g.edges.collect()]  # 25 nodes
+    fs, at = filesystem(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write("\n".join([f"{n} {n} {len(lines)}", *lines]).encode())
+    return read_graph(spark, path).edges
+
+
+@query("formats", "SELECT * FROM (VALUES ('a.bsmat', '', 'bsmat'), ('a.bsmat.gz', '', 'bsmat'), ('a.x', 'bvgraph', 'bvgraph'), ('a.bsmat', 'smat', 'smat'), ('a.smat', 'nosuch', 'smat'), ('a.parquet', '', 'parquet'), ('a.cluto', '', 'failed'), ('a', '', 'failed'), ('A.BSMAT', '', 'failed')) t(path, hint, format)")
+def _(spark, sf):
+    rows = []
+    for path, hint in (("a.bsmat", ""), ("a.bsmat.gz", ""), ("a.x", "bvgraph"), ("a.bsmat", "smat"), ("a.smat", "nosuch"), ("a.parquet", ""), ("a.cluto", ""), ("a", ""), ("A.BSMAT", "")):
+        try:
+            rows.append((path, hint, pick_format(path, hint or None)))
+        except ValueError:
+            rows.append((path, hint, "failed"))
+    return spark.createDataFrame(rows, "path string, hint string, format string")
+
+
+@query("square_and_compatible", _with("trade", "SELECT NOT EXISTS (FROM n WHERE id NOT IN (SELECT src FROM e)) AND NOT EXISTS (FROM e WHERE src NOT IN (FROM n)) AS sources, NOT EXISTS (FROM n WHERE id NOT IN (FROM n)) AS square"))
+def _(spark, sf):
+    g = graphs.trade(spark, sf)
+    return spark.createDataFrame([(gr.compatible(g.nodes, g.edges.select(F.col("src").alias("id"))), gr.is_square(g.nodes, g.nodes))], "sources boolean, square boolean")
+
+
+@query("entries_sorted", _with("trade", "SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place FROM e"))
+def _(spark, sf):
+    # the order within partitions, as it stands: a row's entries stand together, so places count from its first one
+    ordered = gr.entries_sorted(graphs.trade(spark, sf)).withColumn("at", F.monotonically_increasing_id())
+    ordered = ordered.groupBy("src").agg(F.min("at").alias("first"), F.collect_list(F.struct("dst", "w", "at")).alias("own"))
+    return ordered.select("src", F.inline("own"), "first").select("src", "dst", "w", (F.col("at") - F.col("first")).alias("place"))
+
+
 @query("bsmat_roundtrip", TRADE)
 def _(spark, sf):
     path = f"{new_dir(spark, 'files')}.bsmat"

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import Graph, graph_stats, matrix_norms, normalise
+from ..storage import cut
 from .config import PageRankConfig, Reason, parse_options
 from .solvers import algorithm, derivative
 from .space import Space, space_of, trace_table
@@ -66,7 +67,9 @@ class PageRankSolver:
     """A graph checked and normalised once, solved any number of times; set_* return the solver."""
 
     def __init__(self, g: Graph, strategy: str = "auto", check: bool = True):
-        self._graph = g.checked() if check else g
+        self._graph = Graph(cut(g.nodes), cut(g.edges))  # read several times from here on
+        if check:
+            self._graph.checked()
         self._strategy, self._v, self._start, self._spaces = strategy, None, None, {}
 
     def set_v(self, v: DataFrame | None, normalise_sum: bool = False) -> PageRankSolver:

@@ -8,12 +8,13 @@ job would be nearly all of the time.  Both give the same results up to rounding.
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.graph import BROADCAST_ROWS, Graph
 from ..storage import cut, drop_dir, new_dir, store
@@ -21,6 +22,9 @@ from ..storage import cut, drop_dir, new_dir, store
 #: Edges and nodes up to which a graph is solved as arrays (24 and 8 bytes each).
 ARRAY_EDGES, ARRAY_NODES = 1 << 22, 1 << 21
 
+#: Edges of a source that stay in one bucket, and edges of a bucket.
+HUB, BUCKET = 1 << 20, 1 << 23
+
 Terms = Sequence[tuple[float, object]]
 
 
@@ -100,18 +104,38 @@ class ArraySpace(Space):
         return self._spark.createDataFrame(pa.table({"id": pa.array(self._ids, pa.int64()), "x": pa.array(x, pa.float64())}))
 
 
-class TableSpace(Space):
-    """Edges are stored once, hashed by source; the vectors' table is stored anew by each product."""
+def bucketed(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (src, salt, dst, w) stored in buckets of (src, salt), so that products move only the vector.
 
-    def __init__(self, p: Graph, v: DataFrame | None):
-        self._spark, self._last = p.nodes.sparkSession, None
-        self._parts = int(p.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self._edges = cut(p.edges.select("src", "dst", "w").repartition(self._parts, "src"))
-        state = p.nodes.select("id")
+    A source of more than HUB edges is dealt over several salts.
+    """
+    spark, name, path = edges.sparkSession, f"edges_{uuid.uuid4().hex}", new_dir(edges.sparkSession, "edges")
+    hubs = edges.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts")).where("salts > 1")
+    salt = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = edges.join(hubs, "src", "left").select("src", salt.alias("salt"), "dst", "w")
+    dealt.repartition(parts, "src", "salt").write.option("path", path).bucketBy(parts, "src", "salt").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files and their description stay
+    return stored
+
+
+class TableSpace(Space):
+    """Edges are stored once, in buckets by source; the vectors' table is stored anew by each product.
+
+    A product's own sums and those of the vector that it multiplies are observed while it is stored.
+    """
+
+    def __init__(self, p: Graph, v: DataFrame | None, broadcast: bool = True):
+        self._spark, self._last, self._broadcast = p.nodes.sparkSession, None, broadcast
+        edges = cut(p.edges.select("src", "dst", "w"))
+        parts = max(int(self._spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET))
+        self._edges = bucketed(edges, parts)
+        salts = self._edges.where("salt > 0").groupBy(F.col("src").alias("id")).agg((F.max("salt") + 1).alias("salts"))
+        state = p.nodes.select("id").join(salts, "id", "left").select("id", F.coalesce("salts", F.lit(1)).alias("salts"))
         self._personal = v is not None
         if v is not None:
-            state = state.join(v.select("id", F.col("v").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v"))
-        self._state, self._count, self.matvecs = cut(state), 0, 0
+            state = state.join(v.select("id", F.col("v").alias("v")), "id", "left").select("id", "salts", F.coalesce("v", F.lit(0.0)).alias("v"))
+        self._state, self._count, self.matvecs, self._known = cut(state), 0, 0, {}
         self.n = self._state.count()
 
     def _add(self, column) -> str:
@@ -129,15 +153,22 @@ class TableSpace(Space):
         self._state = self._state.join(x.select("id", F.col(x.columns[1]).cast("double").alias(name)), "id", "left").fillna(0.0, [name])
         return name
 
+    def step(self, x: str, name: str) -> DataFrame:
+        """The state with the product of x as column ``name``."""
+        side = self._state.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(x).alias("__x"))
+        side = F.broadcast(side) if self._broadcast and self.n <= BROADCAST_ROWS else side.hint("merge")
+        y = self._edges.join(side, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("__x")).alias(name))
+        return self._state.join(y, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
     def mult(self, x):
         self.matvecs += 1
         name = f"x{self._count}"
         self._count += 1
-        side = self._state.select(F.col("id").alias("src"), F.col(x).alias("__x"))
-        side = F.broadcast(side) if self.n <= BROADCAST_ROWS else side
-        y = self._edges.join(side, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("__x")).alias(name))
-        path = new_dir(self._spark, "state")
-        self._state = store(self._state.join(y, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0))), path)
+        seen, path = Observation(), new_dir(self._spark, "state")
+        sums = [F.coalesce(F.sum(f(c)), F.lit(0.0)).alias(f"{k}_{c}") for c in dict.fromkeys((x, name)) for k, f in (("sum", F.col), ("l1", F.abs))]
+        self._state = store(self.step(x, name).observe(seen, *sums), path)
+        if self.n:
+            self._known = {tuple(k.split("_", 1)): v for k, v in seen.get.items()}
         if self._last:  # nothing reads the table before this one any more
             drop_dir(self._spark, self._last)
         self._last = path
@@ -150,12 +181,14 @@ class TableSpace(Space):
         return self._add(out)
 
     def reduce(self, *wanted):
+        if all(w in self._known for w in wanted):
+            return [self._known[w] for w in wanted]
         ops = {"sum": F.col, "l1": F.abs, "dot": lambda x, y: F.col(x) * F.col(y)}
         row = self._state.agg(*[F.coalesce(F.sum(ops[k](*v)), F.lit(0.0)).alias(f"r{i}") for i, (k, *v) in enumerate(wanted)]).first()
         return list(row)
 
     def keep(self, *vectors):
-        self._state = self._state.select("id", *(["v"] if self._personal else []), *dict.fromkeys(vectors))
+        self._state = self._state.select("id", "salts", *(["v"] if self._personal else []), *dict.fromkeys(vectors))
 
     def table(self, x):
         self._last = None  # the result reads it

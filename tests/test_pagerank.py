@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import graph as gr, placement
 from rankloom.operators.graph import Graph
+from rankloom.plans import space
 from rankloom.plans.config import PageRankConfig, Reason, UnknownAlgorithm, parse_options
 from rankloom.plans.pagerank import PageRankSolver, pagerank, pagerank_derivative, personalisation, sweep
 from rankloom.plans.solvers import ALGORITHMS
@@ -181,3 +184,27 @@ def test_hub_and_clashing_columns(spark):
     rows = [(0, i % 50 + 1, 1.0, "x", 3) for i in range(3000)]
     df = spark.createDataFrame(rows, "src long, dst long, w double, id string, x int")
     assert abs(sum(ranks(pagerank(Graph.of(df)))) - 1) < 1e-12
+
+
+def test_a_shuffled_product_moves_only_the_vector(spark, monkeypatch):
+    """Edges in buckets of (source, salt) are read where they are, a hub's over several salts."""
+    monkeypatch.setattr(space, "HUB", 3)
+    edges = [(0, i, 1.0 + i % 3) for i in range(1, 11)] + [(i, (i * 3) % 11, 2.0) for i in range(1, 11)]
+    g = Graph.of(spark.createDataFrame(edges, "src long, dst long, w double"), spark.range(12))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = space.TableSpace(g, None, broadcast=False)
+        x = s.load(spark.range(12).selectExpr("id", "cast(id + 1 as double) x"))
+        s.mult(x)
+        want = [0.0] * 12
+        for a, b, w in edges:
+            want[b] += w * (a + 1)
+        got = {r.id: r.x for r in s.table("x1").collect()}
+        assert [got[i] for i in range(12)] == want
+        assert s._edges.where("src = 0").select("salt").distinct().count() > 1
+        plan = s.step(x, "y")._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and len(re.findall(r"Exchange hashpartitioning\(src#\d+L?, salt", plan)) == 1
+        # sums of a product are known without another pass
+        assert s.reduce(("sum", "x1"), ("l1", x)) == [sum(want), 78.0] and ("sum", "x1") in s._known
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
