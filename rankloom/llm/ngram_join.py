@@ -39,7 +39,7 @@ MAX_FREQUENT = 1 << 21
 FILTER_BITS = 1 << 29
 #: Sets that clash in 64 bits at most (a handful among 10**10 are expected).
 MAX_CLASHES = 1 << 20
-#: Homes that meet in an entry, or blocks that are held against one block, that stay in one group of rows.
+#: Partners of a node, homes that meet in an entry, or blocks that are held against one block, that stay in one group of rows.
 SPREAD = 64
 #: Tokens that a task gathers before it passes on their counts.
 GATHER = 1 << 21
@@ -440,7 +440,10 @@ def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame, most: int) -> DataF
     sets = _sets_of(c, rough.select(F.col("da").alias("key")).union(rough.select(F.col("db").alias("key"))))
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = rough.join(right, "b").join(left, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+    deals = rough.groupBy("a").agg(F.count("*").alias("pairs"))  # a central member of many entries has many partners
+    dealt = _spread(rough.select("a", "b").join(deals, "a"), "pairs", ["b"], False).drop("pairs")
+    copies = _spread(left.join(deals, "a"), "pairs", [], True).drop("pairs")
+    both = dealt.join(right, "b").join(copies, ["a", "salt"]).withColumn("o", F.size(F.array_intersect("ta", "tb")))
     both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
     return cut(both, 4 * rough.count())  # sets are long: fewer rows a file
 
