@@ -28,9 +28,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 TRADE = """SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, sum(l_quantity) AS w FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey < 23 AND s_nationkey < 20 GROUP BY 1, 2"""
-NATIONS = "SELECT n_nationkey::BIGINT AS id FROM nation"
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
+NATIONS = "SELECT n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT 25 + r_regionkey FROM region"
 SUPPLY = """SELECT o_custkey AS src, l_suppkey + 1000000 AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
 PARTIES = "SELECT c_custkey AS id FROM customer UNION ALL SELECT s_suppkey + 1000000 FROM supplier"
 EVENTS = """SELECT a.id AS src, b.id AS dst, count(*)::DOUBLE AS w FROM (
@@ -440,7 +439,7 @@ def _(spark, sf):
     return read_bvgraph(spark, path, split=7).edges
 
 
-@query("bvgraph_properties", f"SELECT 25::BIGINT AS nodes, (SELECT count(*) FROM ({TRADE})) AS arcs, 7 AS windowsize, 3 AS minintervallength, 3 AS maxrefcount, 3 AS zetak")
+@query("bvgraph_properties", f"SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS nodes, (SELECT count(*) FROM ({TRADE})) AS arcs, 7 AS windowsize, 3 AS minintervallength, 3 AS maxrefcount, 3 AS zetak")
 def _(spark, sf):
     path = f"{new_dir(spark, 'files')}.graph"
     write_bvgraph(graphs.trade(spark, sf), path)

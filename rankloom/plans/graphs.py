@@ -10,6 +10,8 @@ from ..operators.placement import running_sum
 
 #: Offset of the ids of a graph's second kind of nodes.
 SECOND = 1_000_000
+#: Nations have the ids below this; regions come after.
+NATIONS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations: customer's to supplier's, by quantity; the last nations only receive or stand alone."""
+    """Nations: customer's to supplier's, by quantity; regions, whose ids follow, neither buy nor sell."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer").where("c_nationkey < 23").select("c_custkey", "c_nationkey")
-    supplier = table(spark, sf_dir, "supplier").where("s_nationkey < 20").select("s_suppkey", "s_nationkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = joined.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
-    return Graph.of(edges, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return Graph.of(edges, nations.union(table(spark, sf_dir, "region").select(F.col("r_regionkey") + NATIONS)))
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
