@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..storage import cut, scope, ship
 from .components import components
@@ -41,6 +41,9 @@ FILTER_BITS = 1 << 29
 MAX_CLASHES = 1 << 20
 #: Partners of a node, homes that meet in an entry, or blocks that are held against one block, that stay in one group of rows.
 SPREAD = 64
+#: A value that more than a HOT-th of a table's rows share is hot, so fewer than HOT are; its rows stay together in groups of
+#: so many.
+HOT, GROUP = 1 << 12, 1 << 10
 #: Tokens that a task gathers before it passes on their counts.
 GATHER = 1 << 21
 #: Members of a home that are held against those of another at once; a quarter of a thousand shingles each on average.
@@ -129,8 +132,9 @@ def _sets(c: _Corpus, docs: DataFrame, tokens: bool) -> DataFrame:
 
 
 def _nodes(c: _Corpus, ids: DataFrame, rows: int) -> tuple[_Corpus, DataFrame, DataFrame]:
-    """(corpus with its clashes, ids, nodes): the nodes are (sig, rep, low, n, bits), rep a key of a text with that set, low the smallest id."""
-    nodes = ids.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("other").alias("o0"), F.max("other").alias("o1"))
+    """(corpus with its clashes, ids, nodes): the nodes are (sig, rep, low, n, bits, copies), rep a key of a text with that set, low the smallest id."""
+    own = [F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")]
+    nodes = ids.where("n > 0").groupBy("sig").agg(*own, F.min("other").alias("o0"), F.max("other").alias("o1"))
     nodes = cut(nodes, rows)
     clashes = frozenset(r.sig for r in nodes.where("o0 != o1").select("sig").limit(MAX_CLASHES).collect())
     if not clashes:
@@ -140,7 +144,7 @@ def _nodes(c: _Corpus, ids: DataFrame, rows: int) -> tuple[_Corpus, DataFrame, D
     c = c._replace(clashes=clashes)
     shared = ids.sparkSession.createDataFrame([(x,) for x in clashes], "sig long").withColumn("clash", F.lit(True))
     ids = cut(ids.join(F.broadcast(shared), "sig", "left").withColumn("sig", F.when(F.col("clash"), F.col("other")).otherwise(F.col("sig"))).drop("clash"), rows)
-    return c, ids, cut(ids.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits")), rows)
+    return c, ids, cut(ids.where("n > 0").groupBy("sig").agg(*own), rows)
 
 
 def _widths(spark: SparkSession, total: int) -> tuple[int, int]:
@@ -246,6 +250,7 @@ def _index(c: _Corpus, total: int) -> DataFrame:
 
     def run(batches):
         often, rough, seen = shared.value
+        done = set()  # names that this task has indexed: of a group of copies one is enough
 
         def frequent(g):
             key = g >> np.uint64(64 - bits)
@@ -266,8 +271,9 @@ def _index(c: _Corpus, total: int) -> DataFrame:
             keys, sigs, ns, own = [], [], [], []
             for g in shingle_sets(b.column(0), table, k):
                 n = len(g)
-                if not n:
+                if not n or (name := _name(g, clashes)) in done:
                     continue
+                done.add(name)
                 p = (100 - percent) * n // 100 + 1
                 f = frequent(g)
                 rare = g[~f]
@@ -282,7 +288,7 @@ def _index(c: _Corpus, total: int) -> DataFrame:
                 e = np.concatenate(entries)
                 if len(e):
                     keys.append(e)
-                    sigs.append(np.full(len(e), _name(g, clashes), np.int64))
+                    sigs.append(np.full(len(e), name, np.int64))
                     ns.append(np.full(len(e), n, np.int64))
                     own.append(np.full(len(e), len(rare), np.int64))
             if keys:
@@ -304,6 +310,18 @@ def _spread(df: DataFrame, n: str, by: list[str], copies: bool) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), most - 1)) if copies else F.pmod(F.xxhash64(*by), most).cast("int"))
 
 
+def _dealt_join(many: DataFrame, one: DataFrame, by: str, counts: DataFrame, rows: int, deal: Column) -> DataFrame:
+    """many joined with ``one`` by a column; counts (by, m): how many of the ``rows`` of ``many`` have each of its values.
+
+    The rows of a hot value are dealt by ``deal`` over groups of GROUP rows, with a copy of its row of ``one`` for each.
+    """
+    hot = F.broadcast(counts.where(F.col("m") * HOT > rows).select(by, F.ceil(F.col("m") / GROUP).cast("int").alias("groups")))  # fewer than HOT rows
+    groups = F.coalesce("groups", F.lit(1))
+    left = many.join(hot, by, "left").withColumn("group_of", F.pmod(deal, groups).cast("int")).drop("groups")
+    right = one.join(hot, by, "left").withColumn("group_of", F.explode(F.sequence(F.lit(0), groups - 1))).drop("groups")
+    return left.join(right, [by, "group_of"]).drop("group_of")
+
+
 def _resolved(c: _Corpus, reps: DataFrame, left: DataFrame) -> DataFrame:
     """(a, b), stored: links that join whatever components have linked members in a common entry of ``left`` (key, size, sig, n, c).
 
@@ -417,13 +435,13 @@ def _resolved(c: _Corpus, reps: DataFrame, left: DataFrame) -> DataFrame:
     return cut(rough.join(nodes, "block").select("a", "b", "ca", "cb", "sets"), n, batch=4, by=check, schema="a long, b long")
 
 
-def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """(a, b), stored: of the pairs of nodes (``most`` or fewer) those that are linked.
+def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b), stored: of the pairs of nodes (a stored table) those that are linked.
 
     The parities, a sixty-fourth of the sets' size, rule out pairs that must differ in too many tokens; the sets of
     the rest are made anew from their texts and compared in full.
     """
-    percent = c.percent
+    percent, most = c.percent, pairs.count()
     x = reps.select(F.col("sig").alias("a"), F.col("rep").alias("da"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     y = reps.select(F.col("sig").alias("b"), F.col("rep").alias("db"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
@@ -435,13 +453,16 @@ def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame, most: int) -> DataF
             ok = pa.array((100 + percent) * ((na + nb - apart) // 2) >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1, 6, 7)], ["a", "b", "da", "db"])
 
-    rough = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "ba", "bb", "da", "db")
+    # A central member of many entries has many partners.
+    partners = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    rough = _dealt_join(pairs.join(y, "b"), x, "a", partners, most, F.xxhash64("b")).select("a", "b", "na", "nb", "ba", "bb", "da", "db")
     rough = cut(rough, most, by=near, schema=f"a long, b long, da {c.kind}, db {c.kind}")
     sets = _sets_of(c, rough.select(F.col("da").alias("key")).union(rough.select(F.col("db").alias("key"))))
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    deals = rough.groupBy("a").agg(F.count("*").alias("pairs"))  # a central member of many entries has many partners
-    dealt = _spread(rough.select("a", "b").join(deals, "a"), "pairs", ["b"], False).drop("pairs")
+    deals = rough.groupBy("a").agg(F.count("*").alias("pairs"))
+    dealt = _dealt_join(rough.select("a", "b"), deals, "a", deals.withColumnRenamed("pairs", "m"), rough.count(), F.xxhash64("b"))
+    dealt = _spread(dealt, "pairs", ["b"], False).drop("pairs")
     copies = _spread(left.join(deals, "a"), "pairs", [], True).drop("pairs")
     both = dealt.join(right, "b").join(copies, ["a", "salt"]).withColumn("o", F.size(F.array_intersect("ta", "tb")))
     both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
@@ -503,7 +524,7 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, t
         return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
     pairs = multi.where("sig != rep").where(alike("n", "rep_n")).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct()
-    links = _verified(c, reps, pairs, n_multi)
+    links = _verified(c, reps, cut(pairs, n_multi))
     linked = components(links)
     # Entries whose members the first round left in more than one component: whatever of theirs is still apart.  The
     # entry's first member has been held against all others, so no link of its own is missing.
@@ -517,7 +538,9 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, t
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = linked.join(lows, "component").select(F.col("node").alias("sig"), F.col("component").alias("group"), "component_id")
     labels = reps.select("sig", "low").join(linked, "sig", "left").select("sig", F.coalesce("group", "sig").alias("group"), F.coalesce("component_id", "low").alias("component_id"))
-    full = ids.where("n > 0").join(labels, "sig").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "group")
+    # A group of copies may be a large part of all rows; ids are a stored table, so its rows are numbered alike in each attempt.
+    copies = reps.select("sig", F.col("copies").alias("m"))
+    full = _dealt_join(ids.where("n > 0"), labels, "sig", copies, size.rows, F.monotonically_increasing_id()).select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "group")
     return full.unionByName(ids.where("n = 0").select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group")))
 
 
