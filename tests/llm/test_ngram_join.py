@@ -145,3 +145,19 @@ def test_odd_rows(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert rows_of(nj.op7_ngram_jaccard_join(spark, sf)) == rows_of_sql(nj.SQL["op7_ngram_jaccard_join"], sf)
+
+
+def test_dealt_join_equals_a_plain_one_and_parts_hot_values(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.llm.ngram_join import GROUP, _dealt_join
+
+    many = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit(1)).otherwise(F.col("id")).alias("k"), "id")
+    one = spark.range(8000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    counts = many.groupBy("k").agg(F.count("*").alias("m"))
+    got = _dealt_join(many, one, "k", counts, 9000, F.xxhash64("id"))
+    assert sorted(got.select("k", "id", "x").collect()) == sorted(many.join(one, "k").select("k", "id", "x").collect())
+    groups = many.where("k = 1").select(F.pmod(F.xxhash64("id"), F.lit(-(-6000 // GROUP))).alias("g")).groupBy("g").count().collect()
+    assert len(groups) == -(-6000 // GROUP) and max(r["count"] for r in groups) < 2 * GROUP
+    empty = many.limit(0)
+    assert _dealt_join(empty, one, "k", empty.groupBy("k").agg(F.count("*").alias("m")), 0, F.xxhash64("id")).count() == 0
