@@ -29,7 +29,9 @@ ROWS_PER_FILE = 50_000
 
 #: Rows of a batch between Spark and Python while a table is written, unless the caller knows that they are wide.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch, beyond which it closes after a row: very long texts come a few at a time.
+BATCH_BYTES = 8 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
@@ -109,13 +111,22 @@ def give_back() -> None:
 
 @contextmanager
 def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches between Spark and Python have so many rows at most: they are several times in memory."""
-    before = spark.conf.get(_BATCH)
+    """Batches between Spark and Python have so many rows and BATCH_BYTES at most: they are several times in memory."""
+    before = {k: spark.conf.get(k) for k in (_BATCH, _BYTES)}
     spark.conf.set(_BATCH, rows)
+    spark.conf.set(_BYTES, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For tables computed later: a session with Spark's own bounds on batches gets ours for good."""
+    for k, default, ours in ((_BATCH, "10000", BATCH_ROWS), (_BYTES, "67108864b", BATCH_BYTES)):
+        if spark.conf.get(k) == default:
+            spark.conf.set(k, ours)
 
 
 def store(df: DataFrame, path: str, by: Callable | None = None, schema: str | None = None, batch: int = BATCH_ROWS) -> DataFrame:
