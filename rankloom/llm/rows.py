@@ -7,19 +7,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from ..storage import BATCH_ROWS, _BATCH, give_back, ship
+from ..storage import bound_batches, give_back, ship
 
 
 def append(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], list], setup: Callable[[], object] | None = None, keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep), then those of ``schema`` with the arrays that ``make`` returns for a batch.
 
     A column of df whose name, whatever its case, is one of the new names gives way to the new one.  ``setup`` runs
-    once a task; its result is then the second argument of ``make``.  A session that doesn't set its own number of rows
-    in an Arrow batch gets BATCH_ROWS for good, as df is computed later.
+    once a task; its result is then the second argument of ``make``.  Batches are bounded in rows and bytes.
     """
     ship(df.sparkSession)
-    if df.sparkSession.conf.get(_BATCH) == "10000":  # Spark's own default: so many long texts are more than a worker's memory
-        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    bound_batches(df.sparkSession)
     new = T.StructType.fromDDL(schema)
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
