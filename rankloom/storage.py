@@ -32,6 +32,7 @@ BATCH_ROWS = 1000
 #: Bytes of a batch, beyond which it closes after a row: very long texts come a few at a time.
 BATCH_BYTES = 8 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
@@ -110,16 +111,20 @@ def give_back() -> None:
 
 
 @contextmanager
-def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches between Spark and Python have so many rows and BATCH_BYTES at most: they are several times in memory."""
-    before = {k: spark.conf.get(k) for k in (_BATCH, _BYTES)}
-    spark.conf.set(_BATCH, rows)
-    spark.conf.set(_BYTES, BATCH_BYTES)
+def _storing(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches between Spark and Python have so many rows and BATCH_BYTES at most: they are several times in memory.
+
+    Shuffle files go as soon as the table is there, not when the driver next collects garbage.
+    """
+    ours = {_BATCH: rows, _BYTES: BATCH_BYTES, _CLEANUP: "true"}
+    before = {k: spark.conf.get(k, None) if k == _CLEANUP else spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -154,7 +159,7 @@ def store(df: DataFrame, path: str, by: Callable | None = None, schema: str | No
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
-    with _batches(spark, batch):
+    with _storing(spark, batch):
         written = df.mapInArrow(write, "rows long").collect()  # a row for each file
     return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 

@@ -37,3 +37,17 @@ def test_bounds_of_the_session_are_respected(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_settings_come_back_after_a_failure(spark):
+    before = {k: spark.conf.get(k, None) for k in (storage._BATCH, storage._BYTES, storage._CLEANUP)}
+
+    def broken(batches):
+        raise ValueError("on purpose")
+        yield
+
+    try:
+        storage.cut(spark.range(3), by=broken, schema="id long")
+    except Exception as e:
+        assert "on purpose" in str(e)
+    assert {k: spark.conf.get(k, None) for k in before} == before
