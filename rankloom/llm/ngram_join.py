@@ -20,6 +20,8 @@ shingle (about the product of the sizes in 2**64 pairs).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from math import ceil, log2
 from typing import NamedTuple
 
@@ -154,6 +156,18 @@ def _widths(spark: SparkSession, total: int) -> tuple[int, int]:
     return bucket_bits, max(8 << bucket_bits, min(FILTER_BITS, 1 << ceil(log2(max(total, 1) * 2))))
 
 
+def _alone[R](step: Callable[..., R]) -> Callable[..., R]:
+    """The step's own tables go when its result is there, which reads none of them but a lasting one."""
+
+    @wraps(step)
+    def run(c: _Corpus, *args: object) -> R:
+        with scope(c.docs.sparkSession):
+            return step(c, *args)
+
+    return run
+
+
+@_alone
 def _token_counts(c: _Corpus, total: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys of the frequent class sorted, filter of tokens in two documents or more, bits of a key).
 
@@ -322,6 +336,7 @@ def _dealt_join(many: DataFrame, one: DataFrame, by: str, counts: DataFrame, row
     return left.join(right, [by, "group_of"]).drop("group_of")
 
 
+@_alone
 def _resolved(c: _Corpus, reps: DataFrame, left: DataFrame) -> DataFrame:
     """(a, b), stored: links that join whatever components have linked members in a common entry of ``left`` (key, size, sig, n, c).
 
@@ -432,9 +447,10 @@ def _resolved(c: _Corpus, reps: DataFrame, left: DataFrame) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-    return cut(rough.join(nodes, "block").select("a", "b", "ca", "cb", "sets"), n, batch=4, by=check, schema="a long, b long")
+    return cut(rough.join(nodes, "block").select("a", "b", "ca", "cb", "sets"), n, lasting=True, batch=4, by=check, schema="a long, b long")
 
 
+@_alone
 def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), stored: of the pairs of nodes (a stored table) those that are linked.
 
@@ -466,7 +482,7 @@ def _verified(c: _Corpus, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     copies = _spread(left.join(deals, "a"), "pairs", [], True).drop("pairs")
     both = dealt.join(right, "b").join(copies, ["a", "salt"]).withColumn("o", F.size(F.array_intersect("ta", "tb")))
     both = both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
-    return cut(both, 4 * rough.count())  # sets are long: fewer rows a file
+    return cut(both, 4 * rough.count(), lasting=True)  # sets are long: fewer rows a file
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", table: np.ndarray = SPACED) -> DataFrame:
