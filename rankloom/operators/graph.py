@@ -42,8 +42,10 @@ class Graph:
             raise ValueError("edges hold nulls")
         if not allow_negative and worst["least"] is not None and worst["least"] < 0:
             raise ValueError("edges hold negative weights")
-        ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id"))).distinct()
-        if not ends.join(self.nodes, "id", "left_anti").isEmpty():
+        ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id")))
+        few = self.nodes.count() <= BROADCAST_ROWS  # the edges stay where they are
+        lost = ends.join(F.broadcast(self.nodes), "id", "left_anti") if few else ends.distinct().join(self.nodes, "id", "left_anti")
+        if not lost.isEmpty():
             raise ValueError("an edge's end is not a node")
         return self
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import Graph, graph_stats, matrix_norms, normalise
-from ..storage import cut
+from ..storage import NARROW_ROWS, cut
 from .config import PageRankConfig, Reason, parse_options
 from .solvers import algorithm, derivative
 from .space import Space, space_of, trace_table
@@ -67,7 +67,7 @@ class PageRankSolver:
     """A graph checked and normalised once, solved any number of times; set_* return the solver."""
 
     def __init__(self, g: Graph, strategy: str = "auto", check: bool = True):
-        self._graph = Graph(cut(g.nodes), cut(g.edges))  # read several times from here on
+        self._graph = Graph(cut(g.nodes, batch=NARROW_ROWS), cut(g.edges, batch=NARROW_ROWS))  # read several times from here on
         if check:
             self._graph.checked()
         self._strategy, self._v, self._start, self._spaces = strategy, None, None, {}
@@ -81,14 +81,16 @@ class PageRankSolver:
         self._start = start
         return self
 
+    def _directed(self, config: PageRankConfig) -> Graph:
+        return self._graph.transposed if config.transposed else self._graph
+
     def transition(self, config: PageRankConfig) -> Graph:
-        g = self._graph.transposed if config.transposed else self._graph
-        return normalise(g, dangling=config.dangling)
+        return normalise(self._directed(config), dangling=config.dangling)
 
     def space(self, config: PageRankConfig) -> Space:
         key = (config.transposed, config.dangling)
         if key not in self._spaces:
-            self._spaces[key] = space_of(self.transition(config), self._v, self._strategy)
+            self._spaces[key] = space_of(self._directed(config), self._v, self._strategy, config.dangling)
         return self._spaces[key]
 
     def solve(self, config: PageRankConfig = PageRankConfig()) -> Result:

@@ -3,21 +3,26 @@
 A solver is written once against ``Space``.  ``TableSpace`` keeps all its vectors as columns of one table, so linear
 combinations are projections, any number of sums is one aggregate, and a product is a join and an aggregate.
 ``ArraySpace`` does the same with arrays for a graph whose checked size fits one process, where Spark's cost for each
-job would be nearly all of the time.  Both give the same results up to rounding.
+job would be nearly all of the time.  ``BlockSpace`` stands between them: arrays for the vectors of few nodes, blocks in
+the shared folder for any number of edges.  All give the same results up to rounding.
 """
 
 from __future__ import annotations
 
 import uuid
+import weakref
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.graph import BROADCAST_ROWS, Graph
-from ..storage import cut, drop_dir, new_dir, store
+from ..functions.scalars import EPSILON
+from ..operators.graph import BROADCAST_ROWS, Graph, normalise, with_self_loops
+from ..storage import NARROW_ROWS, cut, drop_dir, filesystem, gather, new_dir, store
 
 #: Edges and nodes up to which a graph is solved as arrays (24 and 8 bytes each).
 ARRAY_EDGES, ARRAY_NODES = 1 << 22, 1 << 21
@@ -25,6 +30,9 @@ ARRAY_EDGES, ARRAY_NODES = 1 << 22, 1 << 21
 #: Edges of a source that stay in one bucket, and edges of a bucket.
 HUB, BUCKET = 1 << 20, 1 << 23
 
+#: Edges of a block on average and at most (12 bytes each stored, some 60 in memory while it is made).
+BLOCK, BLOCK_MOST = 1 << 20, 1 << 21
+
 Terms = Sequence[tuple[float, object]]
 
 
@@ -104,6 +112,121 @@ class ArraySpace(Space):
         return self._spark.createDataFrame(pa.table({"id": pa.array(self._ids, pa.int64()), "x": pa.array(x, pa.float64())}))
 
 
+def _write(path: str, *arrays: np.ndarray) -> None:
+    fs, at = filesystem(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at, compression=None) as out:
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).data.cast("B") if a.size else b"")
+
+
+def _read(path: str) -> memoryview:
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as f:
+        return memoryview(f.read())
+
+
+def _block(path: str, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Store edges ordered by target and source, as [edges, targets], weights, each target's first edge and sources.
+
+    Returns the targets.
+    """
+    order = np.lexsort((src, dst))
+    src, dst, w = src[order], dst[order], w[order]
+    first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    _write(path, np.array([len(w), len(first)], np.int64), w, first.astype(np.int64), src)
+    return dst[first]
+
+
+def _block_sums(path: str, x: np.ndarray) -> np.ndarray:
+    """The weighted sum of x over the sources of each of a block's targets."""
+    b = _read(path)
+    m, targets = np.frombuffer(b, np.int64, 2)
+    w = np.frombuffer(b, np.float64, m, 16)
+    first = np.frombuffer(b, np.int64, targets, 16 + 8 * m)
+    return np.add.reduceat(w * x[np.frombuffer(b, np.int32, m, 16 + 8 * m + 8 * targets)], first)
+
+
+class BlockSpace(ArraySpace):
+    """Vectors are arrays, for the nodes are counted to be few; edges, however many, are stored once in blocks by target.
+
+    g isn't normalised yet: a product divides x by the row sums first, which is the same without a join.  A product is
+    a job whose tasks read x and some blocks and give back the sums of the blocks' targets.  A target's edges beyond
+    BLOCK_MOST make further blocks, so neither a task's memory nor a product depends on hubs.
+    """
+
+    def __init__(self, g: Graph, v: DataFrame | None, dangling: str = "teleport"):
+        if dangling not in ("teleport", "loop"):
+            raise ValueError(f"unknown treatment of dangling nodes: {dangling}")
+        self._spark = g.nodes.sparkSession
+        self._ids = np.sort(g.nodes.select("id").toArrow().column(0).to_numpy())
+        self.n, self.matvecs = len(self._ids), 0
+        self._v = self.load(v) if v is not None else np.full(self.n, 1.0 / max(self.n, 1))
+        self._dir = top = new_dir(self._spark, "blocks")
+        self._drop = weakref.finalize(self, _dropped, self._spark, top)
+        self._drop.atexit = False  # the session may be gone by then, and the folder goes anyway
+        edges = (with_self_loops(g) if dangling == "loop" else g).edges.where("src is not null and dst is not null and w is not null")
+        sums = self.load(edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("x")).join(F.broadcast(g.nodes), "id", "left_semi"))
+        kept = np.abs(sums) > EPSILON
+        self._inverse = np.divide(1.0, sums, out=np.zeros(self.n), where=kept)
+        _write(f"{top}/ids", self._ids.astype(np.int64))
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, task, k, parts, rows = np.frombuffer(_read(f"{top}/ids"), np.int64), TaskContext.get(), 0, [], 0
+
+            def flush() -> pa.RecordBatch:
+                # an attempt's own name: blocks of different attempts never mix
+                name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{k}"
+                targets = _block(f"{top}/{name}", *(np.concatenate([p[i] for p in parts]) for i in range(3)))
+                return pa.RecordBatch.from_pydict({"name": [name], "targets": pa.array([targets.tobytes()], pa.binary())})
+
+            for b in batches:
+                ends = [b.column(i).to_numpy() for i in range(2)]
+                at = [np.searchsorted(ids, e) for e in ends]
+                known = np.logical_and(*(ids[np.minimum(a, len(ids) - 1)] == e for a, e in zip(at, ends))) if len(ids) else np.zeros(b.num_rows, bool)
+                one = [a[known].astype(np.int32) for a in at] + [b.column(2).to_numpy()[known]]
+                if rows and rows + len(one[2]) > BLOCK_MOST:
+                    yield flush()
+                    k, parts, rows = k + 1, [], 0
+                if len(one[2]):
+                    parts.append(one)
+                    rows += len(one[2])
+            if rows:
+                yield flush()
+
+        count = max(self._spark.sparkContext.defaultParallelism, -(-edges.count() // BLOCK))
+        found = gather(edges.select("src", "dst", "w").repartition(count, "dst"), build, "name string, targets binary", NARROW_ROWS)
+        self._blocks = [(f"{top}/{name}", np.frombuffer(targets, np.int32)) for name, targets in sorted((r.name, bytes(r.targets)) for r in found)]
+
+    def mult(self, x):
+        self.matvecs += 1
+        y = np.zeros(self.n)
+        if not self._blocks:
+            return y
+        at, paths = f"{self._dir}/x-{uuid.uuid4().hex}", [path for path, _ in self._blocks]
+        _write(at, x * self._inverse)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = None
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    x = np.frombuffer(_read(at), np.float64) if x is None else x
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "y": pa.array([_block_sums(paths[i], x).tobytes()], pa.binary())})
+
+        tasks = min(len(paths), 2 * self._spark.sparkContext.defaultParallelism)
+        found = gather(self._spark.range(0, len(paths), 1, tasks), sums, "block long, y binary")
+        for block, part in sorted((r.block, bytes(r.y)) for r in found):  # sums in a fixed order
+            y[self._blocks[block][1]] += np.frombuffer(part, np.float64)  # a block's targets are distinct
+        fs, path = filesystem(at)
+        fs.delete_file(path)
+        return y
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # a session that has ended
+        drop_dir(spark, path)
+
+
 def bucketed(edges: DataFrame, parts: int) -> DataFrame:
     """Edges (src, salt, dst, w) stored in buckets of (src, salt), so that products move only the vector.
 
@@ -127,7 +250,7 @@ class TableSpace(Space):
 
     def __init__(self, p: Graph, v: DataFrame | None, broadcast: bool = True):
         self._spark, self._last, self._broadcast = p.nodes.sparkSession, None, broadcast
-        edges = cut(p.edges.select("src", "dst", "w"))
+        edges = cut(p.edges.select("src", "dst", "w"), batch=NARROW_ROWS)
         parts = max(int(self._spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET))
         self._edges = bucketed(edges, parts)
         salts = self._edges.where("salt > 0").groupBy(F.col("src").alias("id")).agg((F.max("salt") + 1).alias("salts"))
@@ -195,14 +318,22 @@ class TableSpace(Space):
         return self._state.select("id", F.col(x).alias("x"))
 
 
-def space_of(p: Graph, v: DataFrame | None = None, strategy: str = "auto") -> Space:
-    """strategy: ``array``, ``table``, or ``auto``: arrays for a graph counted to be small enough for one process."""
+def strategy_of(g: Graph) -> str:
+    """By the counted size: ``array`` if one process holds the graph, ``block`` if it holds vectors, else ``table``."""
+    if g.nodes.count() > ARRAY_NODES:
+        return "table"
+    return "array" if g.edges.count() <= ARRAY_EDGES else "block"
+
+
+def space_of(g: Graph, v: DataFrame | None = None, strategy: str = "auto", dangling: str = "teleport") -> Space:
+    """The space of g's transition matrix.  strategy: ``array``, ``block``, ``table``, or ``auto``, see strategy_of."""
     if strategy == "auto":
-        small = p.edges.count() <= ARRAY_EDGES and p.nodes.count() <= ARRAY_NODES
-        strategy = "array" if small else "table"
-    if strategy not in ("array", "table"):
+        strategy = strategy_of(g)
+    if strategy not in ("array", "block", "table"):
         raise ValueError(f"unknown strategy: {strategy}")
-    return (ArraySpace if strategy == "array" else TableSpace)(p, v)
+    if strategy == "block":
+        return BlockSpace(g, v, dangling)
+    return (ArraySpace if strategy == "array" else TableSpace)(normalise(g, dangling=dangling), v)
 
 
 def trace_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -29,6 +29,8 @@ ROWS_PER_FILE = 50_000
 
 #: Rows of a batch between Spark and Python while a table is written, unless the caller knows that they are wide.
 BATCH_ROWS = 1000
+#: The same for tables of a few numbers: each batch becomes a row group, and small ones cost more than their rows.
+NARROW_ROWS = 1 << 16
 #: Bytes of a batch, beyond which it closes after a row: very long texts come a few at a time.
 BATCH_BYTES = 8 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -164,6 +166,13 @@ def store(df: DataFrame, path: str, by: Callable | None = None, schema: str | No
     return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 
+def gather(df: DataFrame, f: Callable, schema: str, batch: int = BATCH_ROWS) -> list:
+    """The rows that f, from batches to batches of ``schema``, makes of df on the executors.  They must be few."""
+    ship(df.sparkSession)
+    with _storing(df.sparkSession, batch):
+        return df.mapInArrow(f, schema).collect()
+
+
 def cut(df: DataFrame, rows: int | None = None, lasting: bool = False, by: Callable | None = None, schema: str | None = None, batch: int = BATCH_ROWS) -> DataFrame:
     """df (or what ``by`` makes of it), computed once and read back from the shared folder: later stages survive lost executors.
 

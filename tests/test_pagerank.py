@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,43 @@ def test_a_shuffled_product_moves_only_the_vector(spark, monkeypatch):
         assert s.reduce(("sum", "x1"), ("l1", x)) == [sum(want), 78.0] and ("sum", "x1") in s._known
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("algorithm,options", [("power", {"transposed": True}), ("inout", {"dangling": "loop"}), ("arnoldi", {}), ("linsys", {})])
+def test_blocks_equal_arrays(spark, monkeypatch, algorithm, options):
+    """Also with a target's edges in several blocks, repeated edges, rows that sum to zero and a personalisation."""
+    monkeypatch.setattr(space, "BLOCK", 50)
+    monkeypatch.setattr(space, "BLOCK_MOST", 60)
+    edges = random_graph(8) + [(i % 35, 7, 1.0 + i % 2) for i in range(300)] + [(38, 3, 0.0)]
+    g = make(spark, edges, 40)
+    v = spark.createDataFrame([(i, (1 + i % 3) / 79.0) for i in range(40)], "id long, v double")
+    c = PageRankConfig(algorithm=algorithm, alpha=0.2, tol=1e-10, **options)
+    a, b = (pagerank(g, c, v=v, strategy=s) for s in ("array", "block"))
+    assert np.allclose(ranks(a), ranks(b), atol=1e-13, rtol=0) and a.reason is b.reason is Reason.TOLERANCE
+    assert [(r.iter, r.matvecs) for r in a.trace.collect()] == [(r.iter, r.matvecs) for r in b.trace.collect()]
+
+
+def test_blocks_of_odd_graphs(spark):
+    for edges, n in ([], 3), ([(0, 0, 1.0)], 1), ([(0, 1, 0.0), (1, 0, 1.0)], 2), ([(0, 1, 1.0), (0, 1, 2.0), (1, 1, 1.0)], 3):
+        result = pagerank(make(spark, edges, n), PageRankConfig(alpha=0.2, tol=1e-12), strategy="block")
+        assert np.allclose(ranks(result), direct(edges, n, 0.2), atol=1e-9)
+    assert pagerank(make(spark, [], 0), strategy="block").ranks.count() == 0
+
+
+def test_edges_beyond_arrays_go_to_blocks(spark, monkeypatch):
+    """A graph too large for one process whose vectors are small isn't solved by tables, whose products cost jobs and shuffles."""
+    monkeypatch.setattr(space, "ARRAY_EDGES", 100)
+    g, c = make(spark, random_graph(9), 40), PageRankConfig(alpha=0.2, tol=1e-10)
+    solver = PageRankSolver(g)
+    assert type(solver.space(c)) is space.BlockSpace
+    assert np.allclose(ranks(solver.solve(c)), direct(random_graph(9), 40, 0.2), atol=1e-9)
+    monkeypatch.setattr(space, "ARRAY_NODES", 39)
+    assert type(PageRankSolver(g).space(c)) is space.TableSpace
+
+
+def test_stored_graphs_have_large_row_groups(spark):
+    """A batch becomes a row group, so the batches of narrow tables must not be small."""
+    g = PageRankSolver(Graph.of(spark.range(0, 40_000, 1, 1).selectExpr("id src", "(id * 7) % 40000 dst"), spark.range(0, 40_000, 1, 1)))._graph
+    for df in (g.nodes, g.edges):
+        files = [f.removeprefix("file://") for f in df.inputFiles()]
+        assert [pq.ParquetFile(f).num_row_groups for f in files] == [1]
