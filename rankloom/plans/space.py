@@ -194,7 +194,7 @@ class BlockSpace(ArraySpace):
             if rows:
                 yield flush()
 
-        count = max(self._spark.sparkContext.defaultParallelism, -(-edges.count() // BLOCK))
+        count = max(self._spark.sparkContext.defaultParallelism, -(-g.edges.count() // BLOCK))  # of a stored graph from its files' footers
         found = gather(edges.select("src", "dst", "w").repartition(count, "dst"), build, "name string, targets binary", NARROW_ROWS)
         self._blocks = [(f"{top}/{name}", np.frombuffer(targets, np.int32)) for name, targets in sorted((r.name, bytes(r.targets)) for r in found)]
 
@@ -213,7 +213,7 @@ class BlockSpace(ArraySpace):
                     x = np.frombuffer(_read(at), np.float64) if x is None else x
                     yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int64()), "y": pa.array([_block_sums(paths[i], x).tobytes()], pa.binary())})
 
-        tasks = min(len(paths), 2 * self._spark.sparkContext.defaultParallelism)
+        tasks = min(len(paths), self._spark.sparkContext.defaultParallelism)  # blocks are alike, and each task reads x once
         found = gather(self._spark.range(0, len(paths), 1, tasks), sums, "block long, y binary")
         for block, part in sorted((r.block, bytes(r.y)) for r in found):  # sums in a fixed order
             y[self._blocks[block][1]] += np.frombuffer(part, np.float64)  # a block's targets are distinct

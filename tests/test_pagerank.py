@@ -249,3 +249,18 @@ def test_stored_graphs_have_large_row_groups(spark):
     for df in (g.nodes, g.edges):
         files = [f.removeprefix("file://") for f in df.inputFiles()]
         assert [pq.ParquetFile(f).num_row_groups for f in files] == [1]
+
+
+def test_a_product_of_blocks_is_one_job_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(space, "BLOCK", 5)
+    s, context = space.space_of(make(spark, random_graph(10), 40), strategy="block"), spark.sparkContext
+    context.setJobGroup("product", "")
+    try:
+        y = s.mult(s.teleport())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    (job,) = tracker.getJobIdsForGroup("product")
+    (stage,) = tracker.getJobInfo(job).stageIds
+    assert tracker.getStageInfo(stage).numTasks == context.defaultParallelism < len(s._blocks)
+    assert np.allclose(y, space.space_of(make(spark, random_graph(10), 40), strategy="array").mult(s.teleport()), atol=1e-15, rtol=0)
