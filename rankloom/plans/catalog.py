@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,8 @@ EVENTS = """SELECT a.id AS src, b.id AS dst, count(*)::DOUBLE AS w FROM (
 
 #: Graphs of the queries: how they are made, and the SQL of their edges and nodes.
 _GRAPHS = {"trade": (graphs.trade, TRADE, NATIONS), "supply": (graphs.supply, SUPPLY, PARTIES)}
+#: The same matrices for ranking, with repeated edges.
+_LINES = {"supply": partial(graphs.supply, merged=False)}
 
 
 def query(name: str, sql: str | None = None):
@@ -284,7 +287,7 @@ def _(spark, sf):
 for _alg in ("power", "inout", "arnoldi", "linsys"):
     for _name, _alpha, _steps in (("trade", 0.85, 220), ("supply", 0.85, 200)):
         query(f"{_alg}_converged" + "_supply" * (_name == "supply"), _power_sql(_name, _alpha, _steps))(
-            lambda spark, sf, make=_GRAPHS[_name][0], c=PageRankConfig(algorithm=_alg, alpha=_alpha, **_TIGHT): (lambda g: _ranks(g, pagerank(g, c)))(make(spark, sf))
+            lambda spark, sf, make=_LINES.get(_name, _GRAPHS[_name][0]), c=PageRankConfig(algorithm=_alg, alpha=_alpha, **_TIGHT): (lambda g: _ranks(g, pagerank(g, c)))(make(spark, sf))
         )
 
 

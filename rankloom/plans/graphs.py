@@ -30,11 +30,16 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(edges, nations.union(table(spark, sf_dir, "region").select(F.col("r_regionkey") + NATIONS)))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    """Customers to suppliers, by order lines; all customers and suppliers are nodes."""
+def supply(spark: SparkSession, sf_dir: str, merged: bool = True) -> Graph:
+    """Customers to suppliers, by order lines; all customers and suppliers are nodes.
+
+    Without ``merged`` each line is an edge: they add up to the same matrix, and few pairs have several lines, so merging costs a shuffle of nearly all of them.
+    """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    edges = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SECOND).alias("dst")).agg(F.count("*").alias("w"))
+    edges = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SECOND).alias("dst"))
+    if merged:
+        edges = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + SECOND))
     return Graph.of(edges, nodes)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import graph as gr, placement
 from rankloom.operators.graph import Graph
-from rankloom.plans import space
+from rankloom.plans import graphs, space
 from rankloom.plans.config import PageRankConfig, Reason, UnknownAlgorithm, parse_options
 from rankloom.plans.pagerank import PageRankSolver, pagerank, pagerank_derivative, personalisation, sweep
 from rankloom.plans.solvers import ALGORITHMS
@@ -264,3 +265,31 @@ def test_a_product_of_blocks_is_one_job_without_a_shuffle(spark, monkeypatch):
     (stage,) = tracker.getJobInfo(job).stageIds
     assert tracker.getStageInfo(stage).numTasks == context.defaultParallelism < len(s._blocks)
     assert np.allclose(y, space.space_of(make(spark, random_graph(10), 40), strategy="array").mult(s.teleport()), atol=1e-15, rtol=0)
+
+
+def test_a_multiple_of_the_vector_multiplied_last_needs_no_job(spark, monkeypatch):
+    """From one kind of nodes to another, whose rows are empty, a solver's products are multiples of the first; any other vector gets its own."""
+    edges = [(i, 20 + i * j % 9, 1.0 + i % 2) for i in range(20) for j in range(1, 4)]  # with repeated ones
+    g, jobs, gather = make(spark, edges, 30), [], space.gather
+    monkeypatch.setattr(space, "gather", lambda *a, **k: jobs.append(a) or gather(*a, **k))
+    result = pagerank(g, PageRankConfig(algorithm="inout", tol=1e-13), strategy="block")
+    assert np.allclose(ranks(result), direct(edges, 30, 0.85), atol=1e-12) and result.trace.count() > 40
+    assert len(jobs) == 2  # the blocks and one product
+    s, a = (space.space_of(g, strategy=x) for x in ("block", "array"))
+    one, more = np.arange(1.0, 31.0), np.arange(1.0, 31.0)
+    more[3] *= 1 + 1e-12
+    elsewhere = np.r_[-3 * one[:20], np.ones(10)]
+    for x, new in (one, 1), (elsewhere, 0), (0 * one, 0), (more, 1), (more * 0.3, 0), (one, 1), (np.full(30, np.nan), 1), (np.zeros(30), 1), (one, 1):
+        jobs.clear()
+        y = s.mult(x)
+        assert len(jobs) == new
+        assert np.allclose(y[20:], a.mult(x)[20:], atol=1e-15, rtol=1e-14, equal_nan=True)
+
+
+def test_supply_is_ranked_from_lines(spark):
+    """Merging lines of the same customer and supplier would shuffle nearly all of them."""
+    merged, lines = (graphs.supply(spark, "/root/testdata/sf0.001", merged=m) for m in (True, False))
+    assert lines.edges.count() == graphs.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    plan = lambda g: g.edges._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan(merged) and "HashAggregate" not in plan(lines)
+    assert Counter((r.src, r.dst) for r in lines.edges.collect()) == {(r.src, r.dst): r.w for r in merged.edges.collect()}
