@@ -12,6 +12,7 @@ import io
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JError
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -36,9 +38,13 @@ BATCH_BYTES = 8 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Seconds for which the driver keeps what it has freed.
+RELIEF_S = 8
+
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
 _shipped: set[str] = set()
+_relieved: dict[str, float] = {}
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -112,6 +118,26 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """The same for the driver, every RELIEF_S at most: plans and results of many small jobs make its heap grow long before it must collect.
+
+    The Java process is asked to trim its native memory too, where it knows the command (from 17.0.9).
+    """
+    application, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _relieved.get(application, -RELIEF_S) < RELIEF_S:
+        return
+    _relieved[application] = now
+    give_back()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with suppress(Py4JError):
+        # by reflection, for the server's own class isn't exported
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 @contextmanager
 def _storing(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches between Spark and Python have so many rows and BATCH_BYTES at most: they are several times in memory.
@@ -163,6 +189,7 @@ def store(df: DataFrame, path: str, by: Callable | None = None, schema: str | No
 
     with _storing(spark, batch):
         written = df.mapInArrow(write, "rows long").collect()  # a row for each file
+    relieve(spark)
     return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 

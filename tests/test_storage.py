@@ -51,3 +51,26 @@ def test_settings_come_back_after_a_failure(spark):
     except Exception as e:
         assert "on purpose" in str(e)
     assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_the_driver_hands_back_what_it_has_freed(spark, tmp_path, monkeypatch):
+    """Many small jobs leave a driver's heap grown, and no executor's work collects it; not after each table, for a collection takes a while."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    monkeypatch.setattr(storage, "_relieved", {})
+    monkeypatch.setattr(storage, "RELIEF_S", 1000)
+
+    def litter() -> int:
+        text = spark.sparkContext._jvm.org.apache.commons.lang3.StringUtils.repeat
+        for _ in range(20):
+            text("0123456789", 1_000_000).__len__()
+        return used()
+
+    def calm(what):
+        spark.sparkContext._jvm.System.gc()
+        return what()
+
+    for relief in True, False:
+        before = calm(litter)
+        storage.store(spark.range(10), f"file://{tmp_path}/{relief}")
+        assert (used() < before - (100 << 20)) == relief
